@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, tokens
+from . import decontaminate, packing, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 
@@ -20,14 +20,32 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
+def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.listed_urls(pages, urls.LISTED_HOSTS)).drop("possible")
+
+
+def op9_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op6_decontamination, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_toxicity_mil, op5_simhash_gray, op6_decontamination, op7_url_filter, op9_topk_histogram, op10_best_fit_packing)}
 
-SQL: dict[str, str] = {"op6_decontamination": decontaminate.CONTAMINATION_SQL}
+SQL: dict[str, str] = {"op6_decontamination": decontaminate.CONTAMINATION_SQL, "op7_url_filter": urls.URLS_SQL, "op9_topk_histogram": topk.TOPK_SQL}
