@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash, tokens, topk, toxicity, urls
+from . import decontaminate, packing, pii, secrets, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def byte_bpe_50k() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
@@ -25,6 +29,10 @@ def op3_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +54,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_toxicity_mil, op5_simhash_gray, op6_decontamination, op7_url_filter, op9_topk_histogram, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op2_token_counts, op3_toxicity_mil, op4_pii_boosting, op5_simhash_gray, op6_decontamination, op7_url_filter, op9_topk_histogram, op10_best_fit_packing)}
 
-SQL: dict[str, str] = {"op6_decontamination": decontaminate.CONTAMINATION_SQL, "op7_url_filter": urls.URLS_SQL, "op9_topk_histogram": topk.TOPK_SQL}
+SQL: dict[str, str] = {"op1_secret_ownership": secrets.SECRETS_SQL, "op6_decontamination": decontaminate.CONTAMINATION_SQL, "op7_url_filter": urls.URLS_SQL, "op9_topk_histogram": topk.TOPK_SQL}
