@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +45,12 @@ def process_cache() -> dict:
     return module.__dict__.setdefault("held", {})
 
 
-def cached(key: object, make: Callable[[], object]) -> object:
+def cached(name: str, version: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, held under ``name`` in this process until another version is asked for."""
     held = process_cache()
-    if key not in held:
-        held[key] = make()
-    return held[key]
-
-
-def text_of(value) -> str:
-    return "" if value is None else value
+    if name not in held or held[name][0] != version:
+        held[name] = (version, make())
+    return held[name][1]
 
 
 def lowered_words(text: str | None) -> list[bytes]:
@@ -65,30 +62,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crc_fold(column, modulus: int):
-    """crc32 of the column as text, modulo ``modulus``; null counts as the empty text."""
-    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-def batches_of(rows: Iterator[tuple], schema, size: int = 4096):
-    """Arrow record batches of ``size`` rows made from tuples."""
-    import pyarrow as pa
-
-    held: list[tuple] = []
-
-    def flush():
-        columns = list(zip(*held, strict=True)) if held else [[] for _ in schema]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield flush()
-            held.clear()
-    if held:
-        yield flush()
-
-
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the columns an operator works on, under its own names, so that further columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

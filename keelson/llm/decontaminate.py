@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import only
 
@@ -120,12 +121,17 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
             made = [pa.array(np.array(x, np.int64)) for x in (n_words, n_hit, n_items)] + [pa.array(digests, pa.string()), pa.array(judged, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
     return source.mapInArrow(search, schema)
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: int = 20) -> DataFrame:
+    """The rows and columns of ``docs`` that are not contaminated."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    found = contamination(packed, items, text_col="text", item_id_col=item_id_col, item_text_col=item_text_col, window=window, share=share, keep=["row"])
+    return found.where("NOT contaminated").select("row.*")
+
+
 CONTAMINATION_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),

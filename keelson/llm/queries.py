@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, secrets, simhash, tokens, topk, toxicity, urls
+from . import decontaminate, lm, packing, pii, secrets, simhash, tokens, topk, toxicity, urls
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.listed_urls(pages, urls.LISTED_HOSTS)).drop("possible")
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_topk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe_50k())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op2_token_counts, op3_toxicity_mil, op4_pii_boosting, op5_simhash_gray, op6_decontamination, op7_url_filter, op9_topk_histogram, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_ownership, op2_token_counts, op3_toxicity_mil, op4_pii_boosting, op5_simhash_gray, op6_decontamination, op7_url_filter, op8_lm_scores, op9_topk_histogram, op10_best_fit_packing)}
 
 SQL: dict[str, str] = {"op1_secret_ownership": secrets.SECRETS_SQL, "op6_decontamination": decontaminate.CONTAMINATION_SQL, "op7_url_filter": urls.URLS_SQL, "op9_topk_histogram": topk.TOPK_SQL}

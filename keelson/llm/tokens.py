@@ -150,7 +150,7 @@ def read_definition(path: str) -> str | bytes:
 
 
 def encoder(shipped) -> Encoder:
-    return cached(("encoder", hash(shipped.value)), lambda: Encoder(shipped.value))
+    return cached("encoder", hash(shipped.value), lambda: Encoder(shipped.value))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = 32_768, overlap: int = 256) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import only
 
@@ -153,8 +154,6 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     Null and empty texts and texts of white space score 0 and have the places -1. A null id counts as the empty text
     for ``held_out``. Repeated rows give repeated results; an empty table gives an empty result.
     """
-    from pyspark.sql import types as T
-
     keep = keep or [id_col]
     shipped = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     held = (F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
@@ -172,3 +171,9 @@ def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *[T.StructField(k, T.LongType()) for k in ("n_sentences", "worst_start", "worst_end")], T.StructField("worst_score", T.DoubleType())]
     return source.mapInArrow(work, T.StructType([source.schema[c] for c in [*keep, "held_out"]] + more))
+
+
+def not_toxic(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows and columns of ``docs`` that ``toxicity`` does not predict to be toxic."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return toxicity(packed, model, id_col="id", text_col="text", threshold=threshold, keep=["row"]).where("predicted = 0").select("row.*")
