@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from . import vector_queries  # noqa: F401  (registers its queries)
+from . import text_queries, vector_queries  # noqa: F401  (they register their queries)
 from .registry import COVERS, QUERIES, SQL  # noqa: F401
