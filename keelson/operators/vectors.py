@@ -54,7 +54,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine",
 
 def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str | None, same_domain: bool, exclude_self: bool, excluded: dict[int, list[int]]) -> DataFrame:
     rows = sorted(rows, key=lambda r: r["id"])
-    keys = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+    keys = np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0))
     keys = unit(keys) if metric == "cosine" and len(rows) else keys
     state = items.sparkSession.sparkContext.broadcast((keys, *(np.array([r[c] for r in rows], np.int64) for c in ("id", "domain", "time")), {int(q): np.array(v, np.int64) for q, v in excluded.items()}))
 
@@ -62,7 +62,7 @@ def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str |
         import pyarrow as pa
 
         keys, ids, domains, times, excluded = state.value
-        held: list[np.ndarray] = [np.zeros((0, 3)) for _ in ids]
+        held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]  # score, domain, id
         for batch in batches:
             own, domain, time = (batch.column(c).to_numpy() for c in ("id", "domain", "time"))
             if not len(own) or not len(ids):
@@ -83,11 +83,12 @@ def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str |
                 if len(at) > 4 * k:  # what may be among the k best, ties included
                     edge = -np.partition(-scores[q, at], k - 1)[k - 1]
                     at = at[scores[q, at] >= edge]
-                both = np.concatenate([held[q], np.stack([scores[q, at], domain[at].astype(float), own[at].astype(float)], axis=1)])
-                held[q] = both[np.lexsort((both[:, 2], both[:, 1], -both[:, 0]))[:k]]
-        counts = [len(h) for h in held]
-        all_ = np.concatenate(held) if held else np.zeros((0, 3))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(all_[:, 2].astype(np.int64)), pa.array(all_[:, 1].astype(np.int64)), pa.array(all_[:, 0])], names=["query_id", "id", "domain", "score"])
+                s, d, i = (np.concatenate([a, b]) for a, b in zip(held[q], (scores[q, at], domain[at], own[at]), strict=True))
+                best = np.lexsort((i, d, -s))[:k]
+                held[q] = s[best], d[best], i[best]
+        if held:
+            s, d, i = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in held])), pa.array(i), pa.array(d), pa.array(s)], names=["query_id", "id", "domain", "score"])
 
     return items.mapInArrow(search, "query_id long, id long, domain long, score double")
 
@@ -110,7 +111,7 @@ def _against(items: DataFrame, anchors: DataFrame, c: int | None, exclude_self:
     if len(rows) > MAX_ANCHORS:
         raise ValueError(f"more than {MAX_ANCHORS} anchors: ask in blocks")
     rows = sorted(rows, key=lambda r: r["id"])
-    state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1), np.array([r["id"] for r in rows], np.int64), np.array([r["domain"] for r in rows], np.int64)))
+    state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0)), np.array([r["id"] for r in rows], np.int64), np.array([r["domain"] for r in rows], np.int64)))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -141,22 +142,24 @@ def _against(items: DataFrame, anchors: DataFrame, c: int | None, exclude_self:
 def knn_distances(items: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """(anchor, id, score): the k nearest items of each anchor by squared distance (negative), k rows per task and anchor."""
     rows = sorted(anchors.limit(MAX_ANCHORS).collect(), key=lambda r: r["id"])
-    state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1), np.array([r["id"] for r in rows], np.int64)))
+    state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0)), np.array([r["id"] for r in rows], np.int64)))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         keys, ids = state.value
-        held = [np.zeros((0, 2)) for _ in ids]
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]  # score, id
         for batch in batches:
-            x, own = matrix(batch.column("vector")), batch.column("id").to_numpy().astype(float)
+            x, own = matrix(batch.column("vector")), batch.column("id").to_numpy()
             if len(own) and len(ids):
                 score = np.round(-((keys**2).sum(1)[:, None] - 2 * keys @ x.T + (x**2).sum(1)[None]), DIGITS)
                 for q in range(len(ids)):
-                    both = np.concatenate([held[q], np.stack([score[q], own], axis=1)])
-                    held[q] = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
-        all_ = np.concatenate(held) if held else np.zeros((0, 2))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h) for h in held])), pa.array(all_[:, 1].astype(np.int64)), pa.array(all_[:, 0])], names=["anchor", "id", "score"])
+                    s, i = np.concatenate([held[q][0], score[q]]), np.concatenate([held[q][1], own])
+                    best = np.lexsort((i, -s))[:k]
+                    held[q] = s[best], i[best]
+        if held:
+            s, i = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in held])), pa.array(i), pa.array(s)], names=["anchor", "id", "score"])
 
     found = items.mapInArrow(work, "anchor long, id long, score double")
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
