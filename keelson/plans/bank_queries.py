@@ -391,7 +391,7 @@ def exact_share_split(spark, sf_dir):
     return c.withColumn("n", F.count("*").over(own)).withColumn("r", F.row_number().over(own.orderBy("p"))).where(F.col("r") <= F.round(F.col("n") * 0.1)).select("c_mktsegment", "c_custkey")
 
 
-@query("W18", "WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, CAST((r - 37 + n) % n AS BIGINT) AS turn FROM s WHERE (r - 37 + n) % n < 20")
+@query("W18", "WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, CAST(((r - 37) % n + n) % n AS BIGINT) AS turn FROM s WHERE ((r - 37) % n + n) % n < 20")
 def maintenance_rotation(spark, sf_dir):
     """Twenty ids from a stored position on, around the end: the rank comes from a scan by blocks."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(0).alias("k"))
@@ -400,10 +400,10 @@ def maintenance_rotation(spark, sf_dir):
     return r.withColumn("turn", F.pmod(F.col("r") - 37, F.lit(max(n, 1))).cast("long")).where("turn < 20").select("s_suppkey", "turn")
 
 
-@query("D01 D02 D03 D04 D05 D07 D06 D08", f"SELECT o_orderkey, {DAY.format(c='o_orderdate')} - 10957 AS day_number, strftime(o_orderdate, '%A, %B %-d, %Y') AS long_date, (CAST(epoch(o_orderdate) AS BIGINT) - 946684800) // 60 AS minutes, CAST(o_orderdate AS DATE) + 30 AS due FROM orders")
+@query("D01 D02 D03 D04 D05 D07 D06 D08", f"SELECT o_orderkey, {DAY.format(c='o_orderdate')} - 10957 AS day_number, strftime(o_orderdate, '%A, %B %-d, %Y') AS long_date, (CAST(epoch(o_orderdate) AS BIGINT) - 946684800) // 60 AS minutes, strftime(CAST(o_orderdate AS DATE) + 30, '%Y-%m-%d') AS due FROM orders")
 def date_functions(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", (day("o_orderdate") - 10957).alias("day_number"), F.date_format("o_orderdate", "EEEE, MMMM d, yyyy").alias("long_date"), F.floor((F.unix_timestamp("o_orderdate") - 946684800) / 60).alias("minutes"), F.date_add(F.to_date("o_orderdate"), 30).cast("timestamp").alias("due"))
+    return o.select("o_orderkey", (day("o_orderdate") - 10957).alias("day_number"), F.date_format("o_orderdate", "EEEE, MMMM d, yyyy").alias("long_date"), F.floor((F.unix_timestamp("o_orderdate") - 946684800) / 60).alias("minutes"), F.date_format(F.date_add(F.to_date("o_orderdate"), 30), "yyyy-MM-dd").alias("due"))
 
 
 @query("D09 D10 D11 W06 P03", "WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')) AS n FROM documents) SELECT doc_id, n AS n_words, CAST(least(32, greatest(1, ceil(log2(1 + n / 128.0)))) AS BIGINT) AS writes, CASE WHEN n <= 256 THEN 1 ELSE (n - 256) // 128 + 1 + CASE WHEN (n - 256) % 128 > 0 THEN 1 ELSE 0 END + 2 END AS spans FROM w")
