@@ -60,8 +60,11 @@ class Head:
         """Place (-1: none), hash and class of each token."""
         place = np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int64, len(tokens))
         hashes, classes = self.hashes[place], self.classes[place]
-        for k in np.flatnonzero(place < 0).tolist():
-            hashes[k], classes[k] = hash_of(tokens[k]), self.shape.class_of(tokens[k])
+        miss = np.flatnonzero(place < 0)
+        if len(miss):
+            rest = [tokens[k] for k in miss.tolist()]
+            hashes[miss] = np.array([hash_of(t) for t in rest], np.uint64)
+            classes[miss] = [self.shape.class_of(t) for t in rest]
         return place, hashes, classes
 
 
@@ -105,27 +108,54 @@ def groups_of(texts, tokens_at_once: int = 60_000) -> Iterator[tuple[list[bytes]
         yield out()
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[0]]
-    z += weights[features[1]]
-    z += weights[features[2]]
+def logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    z = weights.take(features[0], axis=0)
+    z += weights.take(features[1], axis=0)
+    z += weights.take(features[2], axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_probability(weights: np.ndarray, bias: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log probability of each token's class."""
+    z = logits(weights, bias, features)
+    own = z[np.arange(len(classes)), classes]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def sums_by(place: np.ndarray, values: np.ndarray, early: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places (below 2^16), in order, and the sum of the rows of ``values`` at each.
+
+    Most places occur a few times: their first rows are added for all places at once, the rest of long runs by place.
+    """
+    order = np.argsort(place.astype(np.uint16), kind="stable")
+    ranked = place[order]
+    at = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    size = np.diff(np.r_[at, len(place)])
+    sums = values.take(order[at], axis=0)
+    more, k = np.flatnonzero(size > 1), 1
+    while len(more) and k < early:
+        sums[more] += values.take(order[at[more] + k], axis=0)
+        k += 1
+        more = more[size[more] > k]
+    for r in more.tolist():
+        sums[r] += values.take(order[at[r] + k : at[r] + size[r]], axis=0).sum(axis=0)
+    return ranked[at], sums
+
+
 def learn(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, features: np.ndarray, classes: np.ndarray, rate: float) -> None:
     """One step in place: the likelihood's gradient, summed by bucket, scaled by what each bucket has seen."""
-    slope = np.exp(log_softmax(weights, bias, features))
+    slope = logits(weights, bias, features)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(axis=1, keepdims=True)
     slope[np.arange(len(classes)), classes] -= 1
     for own in features:
-        order = np.argsort(own, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(own[order]) > 0])
-        rows = own[order[at]]
-        sums = np.add.reduceat(slope[order], at, axis=0)
-        seen[rows] += np.einsum("ij,ij->i", sums, sums)
-        weights[rows] -= (rate / np.sqrt(seen[rows] + 1e-6))[:, None] * sums
+        rows, sums = sums_by(own, slope)
+        total = seen[rows] + np.einsum("ij,ij->i", sums, sums)
+        seen[rows] = total
+        sums *= (rate / np.sqrt(total + 1e-6)).astype(np.float32)[:, None]
+        weights[rows] = weights.take(rows, axis=0) - sums
 
 
 def token_counts(docs: DataFrame, bound: int = 250_000) -> DataFrame:
@@ -270,8 +300,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
                 by_class = np.empty(len(tokens))
                 for at in range(0, len(tokens), shape.batch):
                     part = slice(at, at + shape.batch)
-                    z = log_softmax(weights, bias, features[:, part])
-                    by_class[part] = z[np.arange(len(z)), classes[part]]
+                    by_class[part] = log_probability(weights, bias, features[:, part], classes[part])
                 by_class = by_class / LN10 - sizes[classes]
                 starts = np.cumsum([0, *lengths[:-1]])
                 known = place >= 0

@@ -54,12 +54,15 @@ def test_model_is_a_distribution_and_learns(spark, sf_dir):
     r = np.random.default_rng(5)
     weights, bias = r.normal(size=(64, 16)).astype(np.float32), r.normal(size=16).astype(np.float32)
     seen, features, classes = np.zeros(64), r.integers(0, 64, (3, 4000)), r.integers(0, 16, 4000)
-    assert np.exp(lm.log_softmax(weights, bias, features)).sum(axis=1) == pytest.approx(np.ones(4000), abs=1e-4)
+    each = sum(np.exp(lm.log_probability(weights, bias, features, np.full(4000, k))) for k in range(16))
+    assert each == pytest.approx(np.ones(4000), abs=1e-4)
+    rows, sums = lm.sums_by(features[0], weights.take(features[1], axis=0))
+    assert rows.tolist() == sorted(set(features[0].tolist())) and sums == pytest.approx(np.stack([weights[features[1][features[0] == k]].sum(axis=0) for k in rows]), abs=1e-3)
     classes = features[0] % 16
-    before = lm.log_softmax(weights, bias, features)[np.arange(4000), classes].mean()
+    before = lm.log_probability(weights, bias, features, classes).mean()
     for _ in range(20):
         lm.learn(weights, bias, seen, features, classes, 0.25)
-    assert lm.log_softmax(weights, bias, features)[np.arange(4000), classes].mean() > before + 1
+    assert lm.log_probability(weights, bias, features, classes).mean() > before + 1
     rows = queries.QUERIES["op8_lm_scores"](spark, sf_dir).collect()
     out = [(x["score"], x["base_score"]) for x in rows if x["held_out"]]
     assert sum(s for s, _ in out) > sum(b for _, b in out)
