@@ -14,14 +14,14 @@ from ..functions import text as T
 from ..operators import ordered as O
 from ..operators import vectors as V
 from .bank_queries import SHA, priority
-from .registry import query, table
+from .registry import query, spread, table
 from .text_queries import CLEAN, TERMS, WORDS
 
 UNIT32 = "('0x' || substr(sha256({}), 1, 8))::UBIGINT::DOUBLE / 4294967295.0"
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query("C11 C14 C16 C25 C28 C31 C40 C35", """SELECT doc_id, sha256(regexp_replace(text, '^[^\\n]*\\n', '')) AS body, sha256(regexp_replace(text, '(^|\\n)[0-9]+ ', '\\1', 'g')) AS unnumbered, length(regexp_replace(regexp_replace(text, '\\{[^}]*\\}', '', 'g'), '\\[[^\\]]*\\]', '', 'g')) AS bare,

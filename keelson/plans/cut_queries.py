@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, chunks, html
 from ..operators import greedy
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def by_sentence(text: str):
@@ -24,30 +24,30 @@ def _placed(parts, text):
 @query("W07 W10 W11 C26 C53")
 def sentence_chunks(spark, sf_dir):
     """Whole sentences packed into passages of at most 800 characters of the tidied text."""
-    tidied = table(spark, sf_dir, "documents").withColumn("text", F.trim(F.regexp_replace("text", "\\s+", " ")))
+    tidied = spread(table(spark, sf_dir, "documents")).withColumn("text", F.trim(F.regexp_replace("text", "\\s+", " ")))
     return chunks.chunked(tidied, by_sentence).select("doc_id", "ordinal", "start", "end")
 
 
 @query("W12 E14 C21")
 def token_windows(spark, sf_dir):
     """Paragraphs, or windows of 64 words that share 16."""
-    return chunks.chunked(table(spark, sf_dir, "documents"), lambda t: chunks.windows(t, 64, 16)).select("doc_id", "ordinal", "start", "end", "rule")
+    return chunks.chunked(spread(table(spark, sf_dir, "documents")), lambda t: chunks.windows(t, 64, 16)).select("doc_id", "ordinal", "start", "end", "rule")
 
 
 @query("W14 P04", "WITH w AS (SELECT doc_id, length(text) AS n FROM documents) SELECT doc_id, CAST(k AS INTEGER) AS ordinal, k * 500 AS \"start\", least(n, (k + 1) * 500) AS \"end\" FROM (SELECT doc_id, n, unnest(range(0, (n + 499) // 500)) AS k FROM w)")
 def lossless_pieces(spark, sf_dir):
     """Consecutive pieces of 500 characters that together are the text: the length is the count here."""
-    return chunks.chunked(table(spark, sf_dir, "documents"), lambda t: ((a, b, "piece") for a, b in chunks.pieces(t, 500, len))).select("doc_id", "ordinal", "start", "end")
+    return chunks.chunked(spread(table(spark, sf_dir, "documents")), lambda t: ((a, b, "piece") for a, b in chunks.pieces(t, 500, len))).select("doc_id", "ordinal", "start", "end")
 
 
 @query("C04 C05 C50")
 def sentence_span_rows(spark, sf_dir):
-    return chunks.chunked(table(spark, sf_dir, "documents"), lambda t: ((a, b, "sentence") for a, b in chunks.sentence_spans(t))).select("doc_id", "ordinal", "start", "end")
+    return chunks.chunked(spread(table(spark, sf_dir, "documents")), lambda t: ((a, b, "sentence") for a, b in chunks.sentence_spans(t))).select("doc_id", "ordinal", "start", "end")
 
 
 @query("S20 S21 C22")
 def html_text(spark, sf_dir):
-    out = html.html_lines(table(spark, sf_dir, "pages"))
+    out = html.html_lines(spread(table(spark, sf_dir, "pages")))
     return out.select("page_id", F.size("lines").alias("n_lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("digest"))
 
 

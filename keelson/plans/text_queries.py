@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import text as T
 from ..operators import lexical as L
-from .registry import query, table
+from .registry import query, spread, table
 
 STOPS = ", ".join(f"'{w}'" for w in L.STOP)
 TERMS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
@@ -34,7 +34,7 @@ x AS (SELECT query_id, v.id, round(sum(a.w * v.w) / (any_value(nv.l) * any_value
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 NAMES = {"id_col": "doc_id", "text_col": "text", "query_id": "item_id", "query_text": "text"}
@@ -173,7 +173,7 @@ def sentence_counts(spark, sf_dir):
 
 @query("S22 S20", f"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS digest FROM pages""")
 def html_stripped(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("digest"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.sha2(T.strip_tags(F.col("html")), 256).alias("digest"))
 
 
 @query("C44 C45 C46 C47 X09", """WITH w AS (SELECT DISTINCT p_type AS name FROM part) SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS squashed,
