@@ -109,3 +109,7 @@ def test_secret_query_equals_its_sql_and_runs_no_python(spark, sf_dir):
 @pytest.mark.parametrize("text", ["a" * 200_000 + "@", "1" * 200_000, "+1" + " " * 200_000, "1." * 100_000, "- " * 100_000])
 def test_long_runs_take_linear_time(text):
     pii.base(text)
+
+
+def test_parts_with_thousands_of_zeros():
+    assert pii.base("0" * 6000 + "1.2.3.4") == [(1, 0, 6007)] and pii.base("9" * 6000 + ".2.3.4") == []
