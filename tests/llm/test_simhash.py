@@ -110,3 +110,18 @@ def test_whole_table_equals_brute_force(spark, sf_dir):
         least[r] = min(i, least.get(r, i))
     got = sorted(map(tuple, simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()))
     assert got == sorted((i, f"{c:016x}", least[r]) for (i, _), c, r in zip(rows, codes, roots, strict=True))
+
+
+def test_shared_folder_is_the_named_one_or_the_session_s(spark):
+    from keelson.llm import common
+
+    class Unset:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.shared_dir(spark) == (named or common.shared_dir(spark))
+    assert common.shared_dir(Unset).startswith(("/", "file:", "hdfs:"))
+    assert common.durable(spark.range(3)).count() == 3
