@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +37,14 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in range(3, min(6, len(word) - 1) + 1))]
 
 
+def document_features(text: str) -> set[str]:
+    return {f for w in set(words(text)) for f in features(w)}
+
+
+def hashed(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & ((1 << 22) - 1)
+
+
 @dataclass
 class Model:
     """A sentence's log-odds are the bias and its distinct words' weights; a word weighs what its features weigh."""
@@ -81,13 +91,16 @@ def fit(rows: list[tuple[str, int]], min_docs: int = 5, steps: int = 150, rate:
     rows = sorted({text: label for text, label in sorted(rows)}.items())
     if len({y for _, y in rows}) < 2:
         return Model()
-    bags, labels = [], np.array([y for _, y in rows], float)
+    labels = np.array([y for _, y in rows], float)
+    # Most features are seen once. A table of hashed counts, which can only count too much, keeps them out of the exact
+    # counts, so that memory follows the frequent features and not the words of the sample.
+    rough = np.zeros(1 << 22, np.int32)
+    for text, _ in rows:
+        rough[np.array([hashed(f) for f in document_features(text)], np.int64)] += 1
     seen: Counter = Counter()
     toxic: Counter = Counter()
     for text, y in rows:
-        bag = [set(words(text[a:b])) for a, b in sentences(text)]
-        bags.append(bag)
-        of = {f for w in set().union(*bag) for f in features(w)} if bag else set()
+        of = [f for f in document_features(text) if rough[hashed(f)] >= min_docs]
         seen.update(of)
         if y:
             toxic.update(of)
@@ -96,11 +109,11 @@ def fit(rows: list[tuple[str, int]], min_docs: int = 5, steps: int = 150, rate:
     lift_of = lambda f: math.log((toxic[f] + 0.5) / (seen[f] - toxic[f] + 0.5)) - prior
     vocabulary = sorted(f for f, n in seen.items() if n >= min_docs and abs(lift_of(f)) > 0.7)
     index = {f: k for k, f in enumerate(vocabulary)}
-    doc, sentence, feature, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for of in bag:
+    doc, sentence, feature, n = array("l"), array("l"), array("l"), 0
+    for d, (text, _) in enumerate(rows):
+        for a, b in sentences(text):
             doc.append(d)
-            for w in of:
+            for w in sorted(set(words(text[a:b]))):
                 for f in features(w):
                     if f in index:
                         sentence.append(n)
