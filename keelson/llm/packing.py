@@ -218,7 +218,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     return source.mapInArrow(encode, f"id {kind}, n_ids long, sums array<bigint>")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, nodes: int = 4000, rows_per_bucket: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, nodes: int = 4000, rows_per_bucket: int = 5_000) -> DataFrame:
     """Sequences of at most ``capacity`` tokens: (id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
     A document is its ids and ``end_id``. One longer than ``capacity`` is cut into full pieces after a shorter first one;
