@@ -74,11 +74,14 @@ def ownership(evidence: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def live_hashes(found: DataFrame, max_owners: int, max_repositories: int, salts: int) -> DataFrame:
-    """(id, text_hash, live): the hashes of each text that few owners and repositories hold."""
-    evidence = found.select("id", "text_hash", "owner", "repository", F.explode(F.transform(F.concat("base", "more"), lambda x: x["hash"])).alias("hash"))
-    rare = ownership(evidence).where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = evidence.select("id", "text_hash", "hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(salts)).cast("int").alias("salt")).distinct()
+def live_hashes(found: DataFrame, max_owners: int, max_repositories: int, salts: int, asked: Column | None = None) -> DataFrame:
+    """(id, text_hash, live): the hashes of each text that few owners and repositories hold.
+
+    Owners and repositories are counted over all rows; the result has only the rows that are ``asked`` for.
+    """
+    held = lambda rows: rows.select("id", "text_hash", "owner", "repository", F.explode(F.transform(F.concat("base", "more"), lambda x: x["hash"])).alias("hash"))
+    rare = ownership(held(found)).where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = held(found if asked is None else found.where(asked)).select("id", "text_hash", "hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(salts)).cast("int").alias("salt")).distinct()
     return salted.join(rare, ["hash", "salt"]).groupBy("id", "text_hash").agg(F.collect_set("hash").alias("live"))  # within one text
 
 
@@ -126,10 +129,11 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2, salts: int = 8) -> DataFrame:
     """``docs`` with every span that ``secrets`` reports replaced by ``[SECRET]``; all rows and columns stay.
 
-    Only texts with further candidates are shuffled; the others are settled where they are read.
+    Hashes are counted over all texts, as ``secrets`` counts them; only texts with further candidates are joined with
+    the counts, the others are settled where they are read.
     """
     found = findings(docs, id_col, text_col, *owner_columns(owner_col, list(repository_cols)))
-    live = live_hashes(found.where(F.size("more") > 0), max_owners, max_repositories, salts).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "live": "__live"})
+    live = live_hashes(found, max_owners, max_repositories, salts, F.size("more") > 0).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "live": "__live"})
     own = scanned(docs, text_col)
     plain = own.where(F.size("__more") == 0).withColumn("__spans", F.col("__base"))
     rest = own.where(F.size("__more") > 0)

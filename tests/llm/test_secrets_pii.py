@@ -96,6 +96,15 @@ def test_redaction_replaces_exactly_the_spans(spark):
     assert got[7] == "😀 " * 3000 + f"{secrets.MARK} {secrets.MARK} tail" and out.count() == len(SECRETS)
 
 
+def test_redaction_counts_owners_over_base_spans_too(spark):
+    rows = [(1, f"api_key={LIVE}", "s1", "en"), (2, f"api_key={LIVE}", "s2", "en"), (3, f"see {LIVE} here", "s3", "en"), (4, f"own {COPIED}", "s1", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    reported = {r["doc_id"]: r["spans"] for r in secrets.secrets(df).collect()}
+    assert reported[3] == "" and reported[4] == f"live:4:{4 + len(COPIED)}"
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert got == {1: secrets.MARK, 2: secrets.MARK, 3: rows[2][1], 4: f"own {secrets.MARK}"}
+
+
 def test_secret_query_equals_its_sql_and_runs_no_python(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
