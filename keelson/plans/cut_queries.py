@@ -14,11 +14,12 @@ def by_sentence(text: str):
 
 
 def _placed(parts, text):
+    """Each part with its place: parts follow one another in the text, with a space between them or none."""
     at = 0
     for t, _ in parts:
-        k = text.find(t[:40], at)
-        yield t, max(k, at)
-        at = max(k, at)
+        at = text.index(t, at)
+        yield t, at
+        at += len(t)
 
 
 @query("W07 W10 W11 C26 C53")
