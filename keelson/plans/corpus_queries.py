@@ -67,12 +67,19 @@ def filled_questions(spark, sf_dir):
 
 @query("J12 P42", f"WITH b AS (SELECT item_id, {CLEAN.format('text')} AS needle FROM benchmark), d AS (SELECT doc_id, {CLEAN.format('text')} AS body FROM documents) SELECT item_id, doc_id FROM b JOIN d ON contains(body, needle)")
 def containing_records(spark, sf_dir):
-    """Records whose text has an item's whole text: items meet records through the item's first eight words, then compare."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", T.clean(F.col("text")).alias("needle")).withColumn("key", F.array_join(F.slice(T.terms(F.col("needle")), 2, 6), " "))
+    """Records whose text has an item's whole text.
+
+    Items of eight terms or more meet records through their second to seventh term, which stand whole in any record that
+    has the item, then compare. Shorter ones have no such run: each is compared with every text.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.clean(F.col("text")).alias("needle")).withColumn("terms", T.terms(F.col("needle")))
+    long = b.where(F.size("terms") >= 8).select("item_id", "needle", F.array_join(F.slice("terms", 2, 6), " ").alias("key"))
+    short = b.where(F.size("terms") < 8).select("item_id", "needle")
     d = docs(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("body"))
-    runs = d.select("doc_id", F.explode(T.shingles(T.terms(F.col("body")), 6)).alias("key")).join(b.select("key").distinct(), "key", "left_semi")
-    pairs = runs.join(b, "key").select("item_id", "doc_id", "needle").distinct()
-    return pairs.join(d, "doc_id").where(F.contains("body", F.col("needle"))).select("item_id", "doc_id")
+    runs = d.select("doc_id", F.explode(T.shingles(T.terms(F.col("body")), 6)).alias("key")).join(long.select("key").distinct(), "key", "left_semi")
+    pairs = runs.join(long, "key").select("item_id", "doc_id", "needle").distinct()
+    met = pairs.join(d, "doc_id").where(F.contains("body", F.col("needle"))).select("item_id", "doc_id")
+    return met.unionByName(d.join(short, F.contains("body", F.col("needle"))).select("item_id", "doc_id"))
 
 
 @query("J29 J30", """WITH e AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) // 86400 AS d, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT a.user_id, a.d, b.d AS other, abs(a.n - c.n) AS gap FROM e a JOIN e c ON c.user_id = a.user_id + 1 AND c.d BETWEEN a.d - 1 AND a.d + 1 JOIN e b ON b.user_id = c.user_id AND b.d = c.d)
