@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 import zlib
 from array import array
 from collections import Counter
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,23 +140,35 @@ def fit(rows: list[tuple[str, int]], min_docs: int = 5, steps: int = 150, rate:
     return Model(float(theta[-1]), {f: float(v) for f, v in zip(vocabulary, theta, strict=False) if abs(v) > 0.05})
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int, max_bytes: int) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int, max_bytes: int, long_bytes: int = 1_000_000) -> list[tuple[str, int]]:
     """At most ``max_rows`` usable labelled documents with together at most ``max_bytes`` of text, by hash order of ids.
 
     ``docs`` has id and text, ``labels`` id and label. A document with several labels counts as toxic if one says so.
+    Documents of more than ``long_bytes`` come after all others. One that no longer fits is passed over, not those after it.
     """
     asked = labels.where(usable & F.col("label").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     asked = asked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     own = docs.where(usable).join(F.broadcast(asked), "id")  # max_rows rows of two numbers
-    sizes = own.select("id", F.octet_length("text").alias("n"), F.xxhash64("id").alias("h")).orderBy("h", "id").limit(max_rows)
-    fits = sizes.withColumn("sum", F.sum("n").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= max_bytes).select("id").distinct()
+    sizes = own.groupBy("id").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    rows, held, chosen = 0, 0, []
+    for r in sizes.orderBy(F.col("bytes") > long_bytes, F.xxhash64("id"), "id").limit(max_rows).collect():
+        if rows + r["rows"] <= max_rows and held + r["bytes"] <= max_bytes:
+            rows, held = rows + r["rows"], held + r["bytes"]
+            chosen.append((r["id"],))
+    fits = docs.sparkSession.createDataFrame(chosen, T.StructType([own.schema["id"]]))
     return sorted((r["text"] or "", int(r["label"] > 0)) for r in own.join(F.broadcast(fits), "id").select("text", "label").collect())
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = 6000, max_bytes: int = 40_000_000) -> Model:
-    """A model learned on the driver from a bounded sample of labelled documents whose crc32(id) mod 3 is not 1."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = 6000, max_bytes: int = 40_000_000, long_bytes: int = 1_000_000) -> Model:
+    """A model learned on the driver from a bounded sample of labelled documents whose crc32(id) mod 3 is not 1.
+
+    Without documents of both classes nothing can be learned: a warning says so, and the model finds nothing toxic.
+    """
     usable = F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1
-    return fit(labelled_sample(only(docs, id=id_col, text=text_col), only(labels, id=label_id_col, label=label_col), usable, max_rows, max_bytes))
+    rows = labelled_sample(only(docs, id=id_col, text=text_col), only(labels, id=label_id_col, label=label_col), usable, max_rows, max_bytes, long_bytes)
+    if len({y for _, y in rows}) < 2:
+        warnings.warn(f"a sample of {len(rows)} labelled documents lacks a class; no text will be predicted toxic", stacklevel=2)
+    return fit(rows)
 
 
 def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:

@@ -64,6 +64,22 @@ def test_sample_is_bounded_and_leaves_held_out_rows_alone(spark):
     assert sum(len(t) for t, _ in toxicity.labelled_sample(docs, labels, usable, 1000, 100)) <= 100
 
 
+def test_a_very_long_text_does_not_empty_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    usable = F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1
+    first = spark.range(300).where(usable).orderBy(F.xxhash64("id")).limit(2).collect()
+    huge, large = (r["id"] for r in first)
+    docs = spark.createDataFrame([(k, "x" * {huge: 50_000, large: 19_000}.get(k, 20)) for k in range(300)], "id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "id long, label int")
+    n = spark.range(300).where(usable).count()
+    got = toxicity.labelled_sample(docs, labels, usable, 1000, 20_000, 1000)
+    assert len(got) == n - 2 and {y for _, y in got} == {0, 1}
+    assert len(toxicity.labelled_sample(docs, labels, usable, 1000, 30_000, 1000)) == n - 1
+    with pytest.warns(UserWarning, match="lacks a class"):
+        toxicity.train(docs.where("id < 0"), labels, id_col="id", label_id_col="id", label_col="label")
+
+
 def brute_top(rows, every, k, scale=64):
     usable = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
