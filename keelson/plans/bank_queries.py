@@ -347,7 +347,7 @@ def hash_splits(spark, sf_dir):
     return d.select("doc_id", (H.unit64(priority(3, "doc_id")) < 0.1).alias("validation"), H.tenth(F.sha2("text", 256)).alias("tenth"), (H.unit32(H.sha(F.col("source"), F.col("doc_id"))) < 0.25).alias("pooled"))
 
 
-@query("W04 U03 K04 K15 W19 W20", f"SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {SHA.format(seed=5, key='doc_id')}, doc_id) <= 5")
+@query("W04 U03 K04 W19 W20", f"SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY {SHA.format(seed=5, key='doc_id')}, doc_id) <= 5")
 def capped_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", priority(5, "doc_id").alias("p"))
     return O.capped(d, ["source"], [F.col("p"), F.col("doc_id")], 5).select("source", "doc_id")
@@ -510,7 +510,7 @@ def time_filtered(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("T15 T16 W24", "WITH u AS (SELECT user_id, sum(value) AS norm FROM events GROUP BY user_id) SELECT user_id, round(norm, 2) AS norm FROM u ORDER BY round(norm, 2) DESC, user_id LIMIT 20")
+@query("T15", "WITH u AS (SELECT user_id, sum(value) AS norm FROM events GROUP BY user_id) SELECT user_id, round(norm, 2) AS norm FROM u ORDER BY round(norm, 2) DESC, user_id LIMIT 20")
 def largest_gradients(spark, sf_dir):
     """The twenty largest; a top-k keeps twenty rows per task."""
     u = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sum("value"), 2).alias("norm"))

@@ -82,7 +82,7 @@ def containing_records(spark, sf_dir):
     return met.unionByName(d.join(short, F.contains("body", F.col("needle"))).select("item_id", "doc_id"))
 
 
-@query("J29 J30", """WITH e AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) // 86400 AS d, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT a.user_id, a.d, b.d AS other, abs(a.n - c.n) AS gap FROM e a JOIN e c ON c.user_id = a.user_id + 1 AND c.d BETWEEN a.d - 1 AND a.d + 1 JOIN e b ON b.user_id = c.user_id AND b.d = c.d)
+@query("J29", """WITH e AS (SELECT user_id, CAST(epoch(ts) AS BIGINT) // 86400 AS d, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT a.user_id, a.d, b.d AS other, abs(a.n - c.n) AS gap FROM e a JOIN e c ON c.user_id = a.user_id + 1 AND c.d BETWEEN a.d - 1 AND a.d + 1 JOIN e b ON b.user_id = c.user_id AND b.d = c.d)
 SELECT user_id, round(avg(CASE WHEN best = d THEN 1.0 ELSE 0 END), 6) AS aligned FROM (SELECT user_id, d, min_by(other, (gap, abs(other - d), other)) AS best FROM p GROUP BY user_id, d) GROUP BY user_id""")
 def band_alignment(spark, sf_dir):
     """Each day against the next user's days in a band of one: the closest should be the same day."""
@@ -210,7 +210,7 @@ def effective_rank(spark, sf_dir):
     return spark.createDataFrame([(int(n), round(float(np.exp(-(p * np.log(p)).sum())), 4) if len(p) else 0.0)], "dims int, rank double")
 
 
-@query("V01 V18 V20")
+@query("V01 V18")
 def farthest_points(spark, sf_dir):
     """Eight farthest points, one pass each: the next is the row that is least like all chosen ones, ties to the lower id.
 
