@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import answers, chunks, html
+from ..functions import chunks, html
 from ..operators import greedy
 from .registry import query, spread, table
 
@@ -83,12 +83,3 @@ def paced_sources(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
     rows = c.join(need, c["c_custkey"] == need["o_custkey"]).select("c_mktsegment", "c_custkey", "need")
     return greedy.by_group(rows, "c_mktsegment", "c_custkey", lambda r: greedy.paced([int(n) for (n,) in r], 2000, len(r)), ["need"])
-
-
-@query("Y05 Y06 Y15 C41 C42 C43 Y12")
-def checked_answers(spark, sf_dir):
-    """Each answer turn against the length of its text, said in words: the check that the row asks for."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    said = F.concat(F.lit("So the answer is **"), F.length("text").cast("string"), F.when(F.col("turn") % 2 == 0, F.lit(".0**.")).otherwise(F.lit("1**.")))
-    asked = F.to_json(F.struct(F.lit("exact").alias("type"), F.length("text").cast("string").alias("answer")))
-    return c.select("conv_id", "turn", answers.passes_udf()(said, asked).alias("right"))

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.functions import answers as A
 from keelson.functions import chunks as C
@@ -54,38 +55,93 @@ def test_html_lines():
     assert HT.lines(page) == ["Hello you", "a | b & c", "tail"] and HT.lines(None) == []
 
 
-def test_sql_renaming():
-    sql = "SELECT name, count(*) FROM singer -- singer\nWHERE \"name\" = 'name' AND singer.age > 3"
-    new = S.renamed(sql, {"name": "x1", "singer": "x2"})
-    assert new == "SELECT x1, count(*) FROM x2 -- singer\nWHERE \"x1\" = 'name' AND x2.age > 3"
-    assert S.canonical(S.renamed(new, S.inverse({"name": "x1", "singer": "x2"}))) == S.canonical(sql)
-    with pytest.raises(S.Ambiguous):
-        S.renamed('SELECT a FROM t WHERE a = "name"', {"name": "x1"})
+NAMES = S.fresh_names(["singer", "name", "age", "Country", "singer_id", "cast", "role", "concert", "Free Count (K-12)"], 1)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT T1.name, count(*) FROM singer AS T1 JOIN concert T2 ON T1.singer_id = T2.singer_id GROUP BY T1.name",
+    "SELECT name FROM singer WHERE singer_id NOT IN (SELECT singer_id FROM concert) -- name\nORDER BY age DESC, name",
+    "SELECT `Free Count (K-12)` / [age] FROM \"singer\" WHERE country = 'name' and role = \"France\"",
+    "SELECT cast.role FROM cast, singer WHERE CAST(age AS REAL) > 3",
+    "SELECT CASE WHEN age > 3 THEN name ELSE 'it''s' END FROM singer UNION SELECT max(age) - min(age) FROM concert",
+])
+def test_statements_rename_there_and_back(sql):
+    new = S.aliased(sql, NAMES)
+    assert not S.leftovers(new, S.inverse(NAMES)) and S.canonical(S.renamed(new, S.inverse(NAMES))) == S.canonical(sql)
+    for kept in ("'name'", "count(*)", "CAST(", "-- name", "it''s", '"France"'):
+        assert (kept in new) == (kept in sql)
+    assert "".join(t.text for t in S.scan(sql)) == sql
+
+
+@pytest.mark.parametrize("sql, reason", [
+    ("SELECT name AS age FROM singer", "alias_collision"),
+    ("SELECT * FROM singer name WHERE name.age > 3", "alias_collision"),
+    ('SELECT * FROM singer WHERE name = "Name"', "quoted_literal_ambiguous"),
+    ('SELECT * FROM singer WHERE role IN ("France", "Country")', "quoted_literal_ambiguous"),
+    (f"SELECT {NAMES['name']}.age FROM singer AS {NAMES['name']}", "alias_roundtrip"),
+])
+def test_statements_with_two_readings_are_refused(sql, reason):
+    with pytest.raises(S.Ambiguous) as caught:
+        S.aliased(sql, NAMES)
+    assert caught.value.reason == reason
+
+
+def test_keyword_tables_definitions_and_prose():
+    assert S.renamed("SELECT cast.role FROM cast", NAMES) == f"SELECT {NAMES['cast']}.{NAMES['role']} FROM {NAMES['cast']}"
+    made = S.renamed_definition("CREATE TABLE IF NOT EXISTS \"singer\" (age name NOT NULL DEFAULT 'age', PRIMARY KEY (age), FOREIGN KEY (role) REFERENCES cast(role))", NAMES)
+    assert made == f"CREATE TABLE IF NOT EXISTS \"{NAMES['singer']}\" ({NAMES['age']} name NOT NULL DEFAULT 'age', PRIMARY KEY ({NAMES['age']}), FOREIGN KEY ({NAMES['role']}) REFERENCES {NAMES['cast']}({NAMES['role']}))"
     assert S.leftovers("SELECT name FROM x2", S.inverse({"name": "x1", "singer": "x2"})) == {"name"}
-    assert S.renamed_prose("the `name` of singer.name, first_name = 1, name here", {"name": "n", "first_name": "f"}) == "the `n` of singer.n, f = 1, name here"
-    names = S.fresh_names(["A", "b", "c"], 1)
-    assert len(set(names.values())) == 3 and names == S.fresh_names(["c", "a", "B"], 1)
+    assert S.renamed_prose("the `name` of singer.name, first_name = 1, name here, 'name'", {"name": "n", "first_name": "f"}) == "the `n` of singer.n, f = 1, name here, 'name'"
+    assert len(set(NAMES.values())) == len(NAMES) and S.fresh_names(["A", "b"], 1) == S.fresh_names(["b", "a", "B"], 1) != S.fresh_names(["a", "b"], 2)
     assert S.identifier_like("userId") and not S.identifier_like("user")
+    for odd in ("", "'", '"a', "select (", ")", "/* x", "-- y"):
+        assert S.renamed(odd, NAMES) == odd
 
 
-def test_answers():
-    assert A.answer_equals("so\nAnswer: **1,000.0**.", "1000") and not A.answer_equals("answer: 12", "13")
-    assert A.answer_equals(r"thus \boxed{\frac{1}{2}}", r"\frac{1}{2}") and A.boxed("none") is None
-    calls = [{"name": "f", "arguments": {"a": 1, "b": 2}}, {"name": "g", "arguments": {}}]
-    assert A.calls_equal('I call [{"name": "g", "arguments": "{}"}, {"name": "f", "arguments": {"b": 2, "a": 1}}]', calls)
-    assert A.calls_equal("[f(a=1, b=2), g()]", calls) and not A.calls_equal("[f(a=1)]", calls) and not A.calls_equal("no", calls)
-    assert A.first_call_equals("[f(a=1, b=2), h()]", calls[0])
-    assert not A.values_appear("It is 3.15 and Bob", [[3.14159, "bob"]]) and A.values_appear("It is 3.142 and Bob", [[3.14159, "bob"]])
-    assert not A.values_appear("x " * 500 + "7", [[7]])
-    assert A.roles_match("Ann is a knight. **Bob**: knave. Ann is a knave", ["Ann", "Bob"], [False, False])
-    assert A.numbers_equal("0.333", "1/3") is False and A.numbers_equal("0.333", "0.33", True) and A.rational("-1,200.5") == A.rational("−2401/2")
-    assert A.puzzle_equals("answer: b, a", "a, b", "set") and A.puzzle_equals("answer: 1 2\t3", "123", "spaceless") and not A.puzzle_equals("answer: 1", "2", "")
-    assert A.block("x ```sql\nSELECT 1\n``` y", "sql") == "SELECT 1" and A.block(" plain ", "sql") == "plain"
-
-
-def test_check_registry(spark):
-    df = spark.createDataFrame([("answer: 4", json.dumps({"type": "exact", "answer": "4"})), ("x", None), (None, json.dumps({"type": "exact", "answer": "4"}))], "p string, v string")
-    assert [r[0] for r in df.select(A.passes_udf()("p", "v")).collect()] == [True, None, False]
+def verdicts(spark, kind, cases):
+    df = spark.createDataFrame([(p, json.dumps({"type": kind, **v})) for p, v, _ in cases], "p string, v string")
+    return [r[0] for r in df.select(A.passes(F.col("p"), F.col("v"))).collect()], [w for _, _, w in cases]
+
+
+def test_exact_answers(spark):
+    cases = [("so\nAnswer: **1,000.0**.", "1000", True), ("answer: 12", "13", False), (r"thus \boxed{\frac{1}{2}} is", r"\frac{1}{2}", True), ("Answer: `Empty`", "empty", True), ("12 is wrong; the answer is 13", "12", False),
+             ("The answers are listed.\nx\n7", "7", True), ("the final answer is &C &C A&.", "&C &C A&", True), ("Answer: **Wednesday**.\n\nAnswer:", "Wednesday", True), ("Answer: <true>", "True", True), ("", "", True), (r"\boxed{open", "open", False)]
+    got, want = verdicts(spark, "exact", [(p, {"answer": a}, w) for p, a, w in cases])
+    assert got == want
+
+
+def test_calls(spark):
+    gold = [{"name": "a", "arguments": {"x": 1, "y": [2]}}, {"name": "b", "arguments": {}}]
+    cases = [('Calls: [{"name": "b", "arguments": {}}, {"name": "a", "arguments": {"y": [2], "x": 1}}]', True), ("<|call|>[b(), a(x=1, y=[2])]<|end|>", True), ("[a(1, y=[2]), b()]", False), ("[a(x=1, y=[2])]", False), ("no calls [here]", False),
+             ('[{"name": "b", "arguments": "{}"}, {"name": "a", "arguments": {"x": 1, "y": [2]}}]', True), ("[a(x=2, y=[2]), b()]", False), ("[a(x=1, y=[2]), b(), b()]", False), ("[b(), a(x='1', y=[2])]", False)]
+    got, want = verdicts(spark, "calls", [(p, {"calls": gold}, w) for p, w in cases])
+    assert got == want
+    got, want = verdicts(spark, "first_call", [("[a(x=1, y=[2]), c()]", {"call": gold[0]}, True), ("[b()]", {"call": gold[0]}, False), ("none", {"call": gold[1]}, False)])
+    assert got == want
+    assert next(A.call_lists("[f(s='it\\'s \"x\"', n=None, t=True, z=-1.5e3)]")) == [A.keys_of({"name": "f", "arguments": {"s": 'it\'s "x"', "n": None, "t": True, "z": -1500.0}})]
+
+
+def test_values_and_roles(spark):
+    rows = {"rows": [["Paris", 3.0], ["Lyon", 1.25], [None, None]]}
+    got, want = verdicts(spark, "values", [("Paris (3) and Lyon (1.25)", rows, True), ("Paris (3)", rows, False), ("Paris 3 Lyon 1.25 " + "x " * 80, rows, False), ("It is 42.", {"rows": [[42]]}, True), ("It is 3.142 and Bob", {"rows": [[3.14159, "bob"]]}, True), ("It is 3.15 and Bob", {"rows": [[3.14159, "bob"]]}, False), ("", {"rows": []}, False)])
+    assert got == want
+    roles = {"names": ["Ann", "Bo"], "knights": [True, False]}
+    got, want = verdicts(spark, "roles", [("(1) Ann is a knight\n(2) Bo is a knave", roles, True), ("Ann is a knave and Bo is a knave", roles, False), ("Ann is a knight", roles, False), ("Final: **Ann**: Knight; Bo - knave", roles, True)])
+    assert got == want
+
+
+def test_puzzles(spark):
+    cases = [("Answer: 52.36", "576/11", "number", False), ("Answer: 1/3", "2/6", "number", True), ("Answer: 2.32", "2.3", "rounded", True), ("Answer: 2.36", "2.3", "rounded", False), ("Answer: [1, 4, 5, 6]", "[1, 4, 6, 5]", "list", False), ("Answer: (1.0, b)", "1, B", "list", True),
+             ("Answer: b, a", "a, b", "set", True), ("Answer: 1 2\t3", "123", "spaceless", True), ("Answer: 1", "2", "", False), ("Answer: −1,200.5", "-2401/2", "number", True), ("Answer: 1/0", "0", "number", False)]
+    got, want = verdicts(spark, "puzzle", [(p, {"answer": a, "family": f}, w) for p, a, f, w in cases])
+    assert got == want
+
+
+def test_checks_of_nothing_and_of_no_kind(spark):
+    df = spark.createDataFrame([("x", None), (None, json.dumps({"type": "exact", "answer": "4"}))], "p string, v string")
+    assert [r[0] for r in df.select(A.passes(F.col("p"), F.col("v"), ("exact",))).collect()] == [None, False]
+    with pytest.raises(Exception, match="no such check"):
+        spark.createDataFrame([("x", '{"type": "other"}')], "p string, v string").select(A.passes(F.col("p"), F.col("v"), ("exact",))).collect()
 
 
 def test_greedy():
