@@ -46,18 +46,36 @@ def process_cache() -> dict:
 
 
 def cached(name: str, version: object, make: Callable[[], object]) -> object:
-    """What ``make`` gives, held under ``name`` in this process until another version is asked for."""
+    """What ``make`` gives, held in this process until anything else is asked for: a process holds one thing at a time."""
     held = process_cache()
     if name not in held or held[name][0] != version:
+        held.clear()
         held[name] = (version, make())
     return held[name][1]
 
 
+def forget() -> None:
+    """Drops what this process holds; for tasks that need none of it, since Python workers are used again."""
+    process_cache().clear()
+
+
 def lowered_words(text: str | None) -> list[bytes]:
     """The UTF-8 words of ``text`` with A-Z lowered, split at space, tab, LF, VT, FF and CR only."""
     return (text or "").encode().translate(LOWER).split()
 
 
+def joined_by(rows: DataFrame, named: DataFrame, key: str, counts: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``named`` (a row per ``key``), whatever key most rows hold.
+
+    ``counts`` says how many rows hold each key, ``total`` at least how many rows there are. Keys of more than a
+    thousandth of the total are fewer than a thousand, so they are broadcast; all other keys are small and are shuffled.
+    """
+    hot = F.col(counts) * 1000 > total
+    few = F.broadcast(named.where(hot).drop(counts))
+    rest = rows.join(few.select(key), key, "left_anti").join(named.where(~hot).drop(counts), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

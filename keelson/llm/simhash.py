@@ -1,21 +1,14 @@
-"""SimHash near-duplicates: a Gray-order hierarchical index over fingerprints that agree in half of their bits."""
+"""SimHash near-duplicates: a Gray-order hierarchical index over all distinct fingerprints, searched range by range."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, lowered_words, only
-
-#: The 64 bits in six parts: fingerprints that differ in 3 bits or fewer agree in three whole parts.
-PARTS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: The bits left beside three parts, in at most four further parts: one of them agrees too.
-QUARTERS = 4
-
+from .common import durable, forget, joined_by, lowered_words, only
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int = 32_768) -> int:
     """Each bit that is set in over half of the shingles' XXH64 values; repeats count; no words: 0."""
@@ -67,25 +60,36 @@ class GrayIndex:
             self.levels.append((masks & ~parent, patterns))
             above = masks
 
-    def pairs(self, limit: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (i, j), i < j, of codes that differ in at most ``limit`` bits, a block of queries at a time."""
-        n = len(self.codes)
-        for begin in range(0, n, block):
-            query = np.arange(begin, min(n, begin + block))
-            node, differ = np.zeros(len(query), np.int64), np.zeros(len(query), np.int64)
-            span = self.fan ** (len(self.levels) - 1)
-            for depth, (masks, patterns) in enumerate(self.levels):
-                if depth:
-                    query, differ = np.repeat(query, self.fan), np.repeat(differ, self.fan)
-                    node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-                    span //= self.fan
-                    there = (node < len(masks)) & ((node + 1) * span > query + 1)  # only partners after the query
-                    query, differ, node = query[there], differ[there], node[there]
-                differ = differ + np.bitwise_count((self.codes[query] ^ patterns[node]) & masks[node])
-                near = differ <= limit
-                query, differ, node = query[near], differ[near], node[near]
-            later = node > query
-            yield query[later], node[later]
+    def pairs(self, limit: int, lead: int = 0, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (i, j), i < j, of codes that differ in at most ``limit`` bits, and in none of the first ``lead`` bits.
+
+        All codes go down the tree together. What a code and a node differ in is added up on the way, and a group is left
+        as soon as the sum is over the limit. At most about ``block`` (code, node) pairs are looked at at once, the
+        deepest first, so memory does not depend on how many pairs there are.
+        """
+        fixed = ~np.uint64(0) << np.uint64(64 - lead) if lead else np.uint64(0)
+        if not len(self.codes):
+            return
+        last = len(self.levels) - 1
+        waiting = [(0, at, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)) for at in np.array_split(np.arange(len(self.codes)), -(-len(self.codes) // block))]
+        while waiting:
+            depth, query, node, differ = waiting.pop()
+            masks, patterns = self.levels[depth]
+            off = (self.codes[query] ^ patterns[node]) & masks[node]
+            differ = differ + np.bitwise_count(off)
+            near = (differ <= limit) & (off & fixed == 0)
+            query, node, differ = query[near], node[near], differ[near]
+            if depth == last:
+                later = node > query
+                yield query[later], node[later]
+                continue
+            span, below = self.fan ** (last - depth - 1), self.levels[depth + 1][0]
+            for at in range(0, len(query), max(1, block // self.fan)):
+                part = slice(at, at + max(1, block // self.fan))
+                asked = np.repeat(query[part], self.fan)
+                child = (node[part, None] * self.fan + np.arange(self.fan)).ravel()
+                there = (child < len(below)) & ((child + 1) * span > asked + 1)  # only partners after the code
+                waiting.append((depth + 1, asked[there], child[there], np.repeat(differ[part], self.fan)[there]))
 
 
 def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -101,119 +105,120 @@ def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def star(keys: np.ndarray, codes: np.ndarray, limit: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Links (code, least linked code) that connect what is linked within each key; at most one per row."""
-    order = np.lexsort((gray_rank(codes), keys))
-    keys, codes = keys[order], codes[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    lefts, rights = [], []
-    of = np.repeat(sizes, sizes)
-    for step in range(1, min(small, int(sizes.max(initial=1)))):
-        at = np.flatnonzero((of[:-step] > step) & (of[:-step] <= small) & (keys[:-step] == keys[step:]))
-        near = at[np.bitwise_count(codes[at] ^ codes[at + step]) <= limit]
-        lefts.append(near)
-        rights.append(near + step)
-    for begin, size in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        own = codes[begin : begin + size]
-        root = np.arange(size)
-        for i, j in GrayIndex(own).pairs(limit):
-            root = roots_of(size, np.r_[np.arange(size), i], np.r_[root, j])
-        lefts.append(begin + np.arange(size))
-        rights.append(begin + root)
-    if not lefts:
-        return codes[:0], codes[:0]
-    root = roots_of(len(codes), np.concatenate(lefts), np.concatenate(rights))
-    linked = np.flatnonzero(root != np.arange(len(codes)))
-    return codes[linked], codes[root[linked]]
-
-
-def spread(codes: np.ndarray, mask: int) -> list[int]:
-    """The bits outside ``mask`` in QUARTERS parts, as masks."""
-    free = [k for k in range(64) if not mask >> k & 1]
-    return [sum(1 << k for k in part) for part in np.array_split(free, QUARTERS)]
-
-
-def links(prints: DataFrame, limit: int = 3, hot: int = 4096) -> DataFrame:
-    """(a, b): links that connect all distinct ``fingerprint`` values (long) that differ in ``limit`` (3) bits or fewer.
-
-    Every fingerprint goes, as 16 bytes, to the 20 buckets of its three-part combinations, so any linked pair meets in
-    one. Rows arrive sorted by bucket and are read as a stream. A bucket of up to ``hot`` rows is joined at once by the
-    Gray index; a larger one is dealt out again by a further agreeing quarter of the bits that are left, which bounds
-    its size by 2^24 whatever the input. Pairs are not emitted: a bucket gives a spanning star of each connected set.
+def star(codes: np.ndarray, limit: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, least place that i is connected with), for codes in Gray order that agree in their first ``lead`` bits."""
+    root, every = np.arange(len(codes)), np.arange(len(codes))
+    for i, j in GrayIndex(codes).pairs(limit, lead):
+        new = root[i] != root[j]
+        if new.any():
+            root = roots_of(len(codes), np.r_[every, i[new]], np.r_[root, j[new]])
+    linked = np.flatnonzero(root != every)
+    return linked, root[linked]
+
+
+def steps(limit: int) -> list[tuple[int, int, int]]:
+    """(bits led so far, bits left, bits of a part), level by level: the bits left are cut into limit + 1 equal parts.
+
+    Codes that differ in ``limit`` bits or fewer agree in a whole part, which then leads with the bits that led before.
     """
-    if limit != 3:
-        raise ValueError("the buckets are made for 3 differing bits")
-    combos = [sum(((1 << size) - 1) << at for at, size in three) for three in combinations(PARTS, 3)]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    keyed = prints.select("fingerprint").select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(signed(m)).cast("long")) for m in combos])).alias("combo", "bits"))
-    keyed = keyed.select(F.xxhash64("combo", "bits").alias("key"), F.col("combo").cast("int").alias("combo"), "fingerprint")
-
-    def join(batches: Iterator, last: bool) -> Iterator:
-        import pyarrow as pa
+    out, led = [], 0
+    while (64 - led) // (limit + 1):
+        out.append((led, 64 - led, (64 - led) // (limit + 1)))
+        led += out[-1][2]
+    return out
 
-        def out(a, b, key, combo):
-            n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) if not np.isscalar(x) else pa.array(np.full(n, x, t)) for x, t in ((a.view(np.int64), np.int64), (b.view(np.int64) if not np.isscalar(b) else b, np.int64), (key, np.int64), (combo, np.int32))], names=["a", "b", "key", "combo"])
 
-        def ready(keys, codes):
-            a, b = star(keys, codes, limit)
-            return out(a, b, 0, -1)
+def unsigned_right(c: Column, k: int) -> Column:
+    return F.shiftrightunsigned(c, k) if k else c
+
+
+def turned(view: Column, left: int, by: int) -> Column:
+    """``view`` with its last ``left`` bits rotated, so that the ones ``by`` further on lead."""
+    low = (1 << left) - 1
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    rest = view.bitwiseAND(signed(low))
+    return view.bitwiseAND(signed(~low & (1 << 64) - 1)).bitwiseOR(F.shiftleft(rest, by).bitwiseOR(unsigned_right(rest, left - by)).bitwiseAND(signed(low))) if by else view
+
+
+def gray_rank_of(view: Column) -> Column:
+    for k in (1, 2, 4, 8, 16, 32):
+        view = view.bitwiseXOR(F.shiftrightunsigned(view, k))
+    return view
+
+
+def views(codes: DataFrame, level: tuple[int, int, int], limit: int) -> DataFrame:
+    """(tree, lead, rank, code): each (tree, view, code) in ``limit`` + 1 views, each led by another part.
+
+    rank: the place in Gray order; the codes of a tree with the same lead follow one another there.
+    """
+    led, left, part = level
+    own = F.array(*[F.struct((F.col("tree") * (limit + 1) + k).cast("int").alias("tree"), turned(F.col("view"), left, k * part).alias("view")) for k in range(limit + 1)])
+    dealt = codes.select("code", F.explode(own).alias("x")).select("x.tree", gray_rank_of(F.col("x.view")).alias("rank"), "code")
+    return dealt.select("tree", F.shiftrightunsigned("rank", 64 - led - part).alias("lead"), "rank", "code")
+
+
+def links(prints: DataFrame, limit: int = 3, hot: int = 8192) -> DataFrame:
+    """(a, b): links that connect all distinct ``fingerprint`` values (long) that differ in ``limit`` bits or fewer.
+
+    Every fingerprint is in ``limit`` + 1 trees, each led by another part of its bits: a linked pair agrees in one of
+    the parts, and so shares a lead, that is a range of Gray ranks, in that tree. All rows are sorted by tree and Gray
+    rank over the whole cluster; a task builds the index over its stretch of whole ranges and searches it. Pairs are
+    not emitted: each stretch gives a spanning star of each connected set.
+
+    Ranges are counted first (partial counts by lead). One of more than ``hot`` fingerprints is not searched but dealt
+    out again, where it is read, by the parts of its bits that are left, and so on: each level makes the lead longer,
+    until no range can have that many. So a task holds a bounded number of fingerprints, whatever the input.
+    """
+    codes = prints.select(F.lit(1).alias("tree"), F.col("fingerprint").alias("view"), F.col("fingerprint").alias("code"))
+    searched, leads = None, {}
+    for depth, level in enumerate(steps(limit)):
+        dealt, lead = views(codes, level, limit), level[0] + level[2]
+        leads[depth] = lead
+        many = None
+        if depth + 1 < len(steps(limit)) and 64 - lead > np.log2(hot):
+            many = durable(dealt.groupBy("tree", "lead").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("tree", "lead"))
+            many = many if many.head(1) else None
+        fits = dealt if many is None else dealt.join(many, ["tree", "lead"], "left_anti")
+        searched = fits if searched is None else searched.unionByName(fits)
+        if many is None:
+            break
+        codes = durable(dealt.join(many, ["tree", "lead"], "left_semi").select("tree", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", 1)).alias("view"), "code"))
+
+    def search(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        def deal(key, combo, codes):
-            for k, part in enumerate(spread(codes, combos[combo])):
-                low = (codes & np.uint64(part)).astype(np.uint64)
-                mixed = (low * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key + k) % 2**64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                yield out(codes, 0, (mixed ^ (mixed >> np.uint64(29))).view(np.int64), k)
+        def found(tree: int, ranks: np.ndarray, own: np.ndarray):
+            lead = leads[(int(tree).bit_length() - 1) // parts_bits - 1]
+            i, j = star(ranks ^ (ranks >> np.uint64(1)), limit, lead)
+            return pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], names=["a", "b"])
 
-        held_k, held_c, combo_of = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        streaming = None  # the key of a hot bucket that is being dealt out again
+        trees, heads, ranks, own = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            keys = np.concatenate([held_k, batch.column(0).to_numpy()])
-            combo = np.concatenate([combo_of, batch.column(1).to_numpy()])
-            codes = np.concatenate([held_c, batch.column(2).to_numpy().view(np.uint64)])
-            if streaming is not None:
-                n = int(np.searchsorted(keys != streaming[0], True)) if (keys != streaming[0]).any() else len(keys)
-                if n:
-                    yield from deal(*streaming, codes[:n])
-                keys, combo, codes = keys[n:], combo[n:], codes[n:]
-                if len(keys):
-                    streaming = None
-            if len(keys):
-                tail = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
-                if not last and len(keys) - tail > hot:
-                    streaming = (int(keys[-1]), int(combo[-1]))
-                    yield from deal(*streaming, codes[tail:])
-                    keys, combo, codes, tail_k, tail_m, tail_c = keys[:tail], combo[:tail], codes[:tail], keys[:0], combo[:0], codes[:0]
-                else:
-                    tail_k, tail_m, tail_c = keys[tail:], combo[tail:], codes[tail:]
-                    keys, combo, codes = keys[:tail], combo[:tail], codes[:tail]
-                if len(keys):
-                    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                    sizes = np.diff(np.r_[starts, len(keys)])
-                    if not last:
-                        for at, size in zip(starts[sizes > hot], sizes[sizes > hot], strict=True):
-                            yield from deal(int(keys[at]), int(combo[at]), codes[at : at + size])
-                        fits = np.repeat(sizes <= hot, sizes)
-                        keys, codes = keys[fits], codes[fits]
-                    if len(keys):
-                        yield ready(keys, codes)
-                held_k, held_c, combo_of = tail_k, tail_c, tail_m
-            else:
-                held_k, held_c, combo_of = keys, codes, combo
-        if len(held_k):
-            yield ready(held_k, held_c)
-
-    schema = "a long, b long, key long, combo int"
-    first = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: join(x, False), schema))
-    again = first.where("combo >= 0").select("key", "combo", F.col("a").alias("fingerprint"))
-    second = again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda x: join(x, True), schema)
-    return durable(first.where("combo < 0").select("a", "b").unionByName(second.select("a", "b")).distinct())
+            new = [c.to_numpy() for c in batch.columns]
+            trees, heads, ranks, own = np.r_[trees, new[0]], np.r_[heads, new[1]], np.r_[ranks, new[2].view(np.uint64)], np.r_[own, new[3]]
+            # whole ranges only: the last one may go on in the next batch
+            begins = np.flatnonzero(np.r_[True, (trees[1:] != trees[:-1]) | (heads[1:] != heads[:-1])]) if len(trees) else np.zeros(1, np.int64)
+            done = int(begins[-1])
+            if done and (len(trees) >= stretch or done < len(trees) and trees[done] != trees[0]):
+                edges = np.flatnonzero(np.r_[True, trees[1:done] != trees[: done - 1], True])
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    yield found(trees[a], ranks[a:b], own[a:b])
+                trees, heads, ranks, own = trees[done:], heads[done:], ranks[done:], own[done:]
+        edges = np.flatnonzero(np.r_[True, trees[1:] != trees[:-1], True]) if len(trees) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield found(trees[a], ranks[a:b], own[a:b])
+
+    parts_bits, stretch = int(np.log2(limit + 1)), max(hot, 16_384)
+    if 1 << parts_bits != limit + 1:
+        raise ValueError("limit + 1 must be a power of two")
+    stretches = searched.repartitionByRange("tree", "lead").sortWithinPartitions("tree", "rank")
+    return durable(stretches.mapInArrow(search, "a long, b long").distinct())
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) is connected with.
 
+    The centre of a large component stands in most edges; its least neighbour is broadcast to them.
     Large-star and small-star steps in turn, each written to the shared folder, until the edges no longer change.
     """
 
@@ -230,12 +235,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(rounds):
         around = both(edges)
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = around.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = around.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = joined_by(around, least, "a", "n", 2 * before[0]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # what is left of an edge set is (a, b) with b < a
-        large = large.distinct()
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(below, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        large = durable(large.distinct())
+        below = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = joined_by(large, below, "a", "n", 2 * before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = durable(small)
         after = mark(edges)
         if after == before:
@@ -251,6 +256,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for batch in batches:
             made = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(made)], names=["id", "text_hash", "fingerprint"])
@@ -267,22 +273,25 @@ def classed(docs: DataFrame, id_col: str, text_col: str, hot: int) -> tuple[Data
     return held, folded.join(joined, folded["fingerprint"] == joined["node"], "left").select("fingerprint", F.coalesce("root", "fingerprint").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 8192) -> DataFrame:
     """(id, fingerprint, component_id): one row per document, with the least id that it is connected with.
 
     Copies share a fingerprint and are folded before the search, so a group of copies costs one row there. Only
-    fingerprints (8 bytes), hashes and ids are shuffled; components are found by joins, never on the driver.
+    fingerprints (8 bytes), hashes and ids are shuffled; components are found by joins, never on the driver. A
+    fingerprint or a component that a third of all rows share is broadcast to its rows.
 
     Null and empty texts have the fingerprint 0 and are linked like any other. Repeated rows are returned each. A null
     id takes no part in the least id; a component of null ids only has a null component_id. Empty table: empty result.
     """
     held, classes = classed(docs, id_col, text_col, hot)
-    least = durable(held.groupBy("fingerprint").agg(F.min("id").alias("least")).join(classes, "fingerprint"))
-    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
-    return held.join(named, "fingerprint").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    least = durable(held.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(classes, "fingerprint"))
+    whole = least.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("f"))
+    size = least.agg(F.count("*").alias("f"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    named = durable(joined_by(least.select("fingerprint", "root", "n"), whole, "root", "f", size["f"]).select("fingerprint", "component_id", "n"))
+    return joined_by(held, named, "fingerprint", "n", size["n"]).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 4096) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot: int = 8192) -> DataFrame:
     """The rows of ``docs`` with one document left of each component.
 
     The one with the least id stays (null ids come last), among rows that share it the one with the least text hash.

@@ -61,15 +61,51 @@ def test_index_finds_exactly_the_near_pairs():
     assert set(got) == want and set(got.values()) == {1}
 
 
-def test_links_connect_what_is_linked_in_small_and_hot_buckets(spark):
-    codes = cluster(3, 10, 60, 2) + cluster(4, 200, 1, 0)
+def test_a_search_for_one_lead_finds_just_its_pairs():
+    codes = np.array(cluster(5, 6, 200, 4), np.uint64)
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    near = [(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if int(codes[i] ^ codes[j]).bit_count() <= 3]
+    for lead in (0, 16, 52):
+        got = {(a, b) for i, j in simhash.GrayIndex(codes).pairs(3, lead, block=500) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert got == {(i, j) for i, j in near if not lead or int(codes[i] ^ codes[j]) >> (64 - lead) == 0}
+    assert list(simhash.GrayIndex(codes[:0]).pairs(3)) == []
+
+
+def test_memory_of_a_search_does_not_follow_the_pairs():
+    codes = np.array(sorted({int(c) for c in np.random.default_rng(1).integers(0, 1 << 12, 4000)}), np.uint64)
+    sizes = [len(i) for i, _ in simhash.GrayIndex(codes[np.argsort(simhash.gray_rank(codes))]).pairs(3, 52, block=4096)]
+    assert max(sizes) <= 4096 and sum(sizes) == sum(int((np.bitwise_count(codes[k + 1 :] ^ codes[k]) <= 3).sum()) for k in range(len(codes)))
+
+
+def test_each_level_of_views_brings_every_near_pair_together(spark):
+    near = cluster(6, 1, 60, 3)
+    signed = [c - (1 << 64) if c >> 63 else c for c in near]
+    codes = spark.createDataFrame([(1, c, c) for c in signed], "tree int, view long, code long")
+    for level in simhash.steps(3)[:3]:
+        rows = simhash.views(codes, level, 3).collect()
+        meet, ranks = {}, {}
+        for r in rows:
+            meet.setdefault((r["tree"], r["lead"]), set()).add(r["code"] % (1 << 64))
+            ranks.setdefault(r["tree"], []).append((r["rank"] % (1 << 64), r["code"] % (1 << 64)))
+        want = {(a, b) for a in near for b in near if a < b and (a ^ b).bit_count() <= 3}
+        assert want <= {(a, b) for held in meet.values() for a in held for b in held if a < b}
+        for held in ranks.values():  # a view keeps the distances
+            view = [r ^ (r >> 1) for r, _ in held]
+            assert all((view[i] ^ view[0]).bit_count() == (held[i][1] ^ held[0][1]).bit_count() for i in range(len(held)))
+        view_of = lambda u: u ^ (u >> 1)
+        back = [(r["tree"], view_of(r["rank"] % (1 << 64)), r["code"]) for r in rows]
+        codes = spark.createDataFrame([(t, v - (1 << 64) if v >> 63 else v, c) for t, v, c in back], "tree int, view long, code long")
+
+
+def test_links_connect_what_is_linked_in_small_and_hot_ranges(spark):
+    codes = cluster(3, 10, 60, 2) + cluster(4, 200, 1, 0) + cluster(9, 1, 700, 3)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame([(c,) for c in signed], "fingerprint long")
     want = brute_roots(codes)
     groups = {}
     for c, k in zip(signed, want, strict=True):
         groups.setdefault(k, set()).add(c)
-    for hot in (8, 4096):
+    for hot in (64, 8192):
         found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, hot=hot)).collect()}
         got = {}
         for c in signed:
