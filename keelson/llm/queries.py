@@ -42,8 +42,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return urls.filter_urls(pages, urls.listed_urls(pages, urls.LISTED_HOSTS)).drop("possible")
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.listed_urls(spark)).drop("possible")
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

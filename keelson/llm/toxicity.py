@@ -12,11 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only
+from .common import cached, forget, only
 
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -171,35 +172,42 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(rows)
 
 
-def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted, n_sentences, worst_start, worst_end, worst_score) of every whole text.
 
-    ``worst_start`` and ``worst_end`` locate the most offending sentence in code points. ``keep`` names columns of
-    ``docs`` to carry along (the id alone by default). One narrow pass; the model is a bounded dictionary of words.
+    ``worst_start`` and ``worst_end`` locate the most offending sentence in code points. One narrow pass; the model is a
+    bounded dictionary of words.
 
     Null and empty texts and texts of white space score 0 and have the places -1. A null id counts as the empty text
     for ``held_out``. Repeated rows give repeated results; an empty table gives an empty result.
     """
-    keep = keep or [id_col]
     shipped = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     held = (F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
-    source = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in keep], held)
+    source = docs.select(F.col(f"`{text_col}`").alias("__text"), F.col(f"`{id_col}`"), held)
 
     def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+        forget()
         of = Model(*shipped.value)
         for batch in batches:
             found = [of.score(t.as_py()) for t in batch.column(0)]
             score, n, start, end, worst = (np.array(x) for x in zip(*found, strict=True)) if found else (np.zeros(0),) * 5
             ints = [pa.array(x.astype(np.int64)) for x in (n, start, end)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score.astype(float)), pa.array((score >= threshold).astype(np.int32)), *ints, pa.array(worst.astype(float))], names=[*keep, "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score.astype(float)), pa.array((score >= threshold).astype(np.int32)), *ints, pa.array(worst.astype(float))], names=[id_col, "held_out", "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score"])
 
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), *[T.StructField(k, T.LongType()) for k in ("n_sentences", "worst_start", "worst_end")], T.StructField("worst_score", T.DoubleType())]
-    return source.mapInArrow(work, T.StructType([source.schema[c] for c in [*keep, "held_out"]] + more))
+    return source.mapInArrow(work, T.StructType([source.schema[c] for c in (id_col, "held_out")] + more))
+
+
+def not_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows and columns of ``docs`` that ``toxicity`` does not predict to be toxic.
+
+    A filter where the rows are read: only texts go to Python, and only the verdicts come back. Null and empty texts
+    stay, repeated rows stay or go together, an empty table stays empty.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
+    def mild(texts: pa.Array) -> pa.Array:
+        of = cached("toxicity", hash((shipped.value[0], len(shipped.value[1]))), lambda: Model(*shipped.value))
+        return pa.array([of.score(t.as_py())[0] < threshold for t in texts], pa.bool_())
 
-def not_toxic(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows and columns of ``docs`` that ``toxicity`` does not predict to be toxic."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return toxicity(packed, model, id_col="id", text_col="text", threshold=threshold, keep=["row"]).where("predicted = 0").select("row.*")
+    return docs.where(F.arrow_udf(mild, "boolean")(F.col(f"`{text_col}`")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LETTERS_LOWER, LETTERS_UPPER, durable, only
@@ -17,8 +17,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Hosts whose known pages are listed: fixed values of the query.
-LISTED_HOSTS = ("ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
+#: What the list of the query is made of: sites, subdomains, top domains, sections, endings and numbers (fixed values).
+SITES = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+SUBDOMAINS, TOPS, SECTIONS, ENDINGS, NUMBERS = ("", "m.", "blog."), ("com", "net"), ("de", "en", "es", "fr"), ("", ".html"), 1000
 #: A block is one cache line: 8 words of 64 bits, of which a URL sets one bit each.
 WORDS = 8
 
@@ -54,13 +55,12 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return {"rule": rule, "ruled": verdict}
 
 
-def listed_urls(pages: DataFrame, hosts: Sequence[str], url_col: str = "url") -> DataFrame:
-    """The distinct canonical URLs of the pages on ``hosts`` and their subdomains."""
-    found = only(pages, url=url_col).select(*[c.alias(k) for k, c in parts(F.col("url")).items()])
-    fits = F.lit(False)
-    for host in hosts:
-        fits = fits | (F.col("host") == host) | F.col("host").endswith("." + host)
-    return found.where(fits).select("canonical").distinct()
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """(canonical): the list of the query, by rule and not from the pages: numbers that 3 does not divide, on every site."""
+    out = spark.range(1, NUMBERS + 1).where("id % 3 <> 0").select(F.col("id").cast("string").alias("n"))
+    for name, values in (("sub", SUBDOMAINS), ("site", SITES), ("top", TOPS), ("section", SECTIONS), ("ending", ENDINGS)):
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out.select(F.concat("sub", "site", F.lit(".example."), "top", F.lit("/"), "section", F.lit("/"), "n", "ending").alias("canonical"))
 
 
 def positions(canonical: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -75,29 +75,34 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.select(block.alias("block"), *[b.alias(f"b{k}") for k, b in enumerate(bits)]).groupBy("block").agg(*[F.bit_or(f"b{k}").alias(f"w{k}") for k in range(WORDS)])
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bits_per_url: int = 16) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, bits_per_url: int = 16, salts: int = 8) -> DataFrame:
     """(id, host, path, rule, verdict, possible, listed) for every page.
 
     The longest fitting rule decides; without one, listed pages are blocked and others allowed. ``listed`` has the
     column ``canonical``. The filter is a table of 512-bit blocks, sized by the count of listed URLs and joined by block
-    number: Spark broadcasts it while it is under the session's broadcast threshold and shuffles it beyond, so a list of
-    any size works. Only pages whose bits are all set go to the exact join.
+    number; pages whose bits are all set go to the exact join with the list. Both are left joins in one pass over the
+    pages: Spark broadcasts the filter and the list while they are under the session's threshold and shuffles beyond, so
+    a list of any size works. Then a URL that a third of all pages share is spread by ``salts`` copies of its block and
+    of its entry, and pages that cannot match are spread by their ids instead of meeting in one task.
 
-    Null urls and urls without ``://`` have an empty host and path, fit no rule and are allowed. Repeated pages give
-    repeated results; null or repeated listed URLs do no harm; empty tables give empty results or no hits.
+    Null urls and urls without ``://`` have an empty host and path, fit no rule, are not listed and are allowed. Repeated
+    pages give repeated results; null or repeated listed URLs do no harm; empty tables give empty results or no hits.
     """
     known = durable(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct())
     blocks = max(1, -(-known.count() * bits_per_url // (64 * WORDS)))
     block, bits = positions(F.col("canonical"), blocks)
     source = only(pages, id=id_col, url=url_col).select("id", *[c.alias(k) for k, c in parts(F.col("url")).items()])
-    judged = source.select("*", *[c.alias(k) for k, c in ruled(F.col("host"), F.col("path"), rules).items()], block.alias("block"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    apart = -1 - F.pmod(F.xxhash64("id", "path"), F.lit(1 << 20))  # no block has such a number
+    judged = source.select("*", *[c.alias(k) for k, c in ruled(F.col("host"), F.col("path"), rules).items()], F.when(F.col("canonical") != "", block).otherwise(apart).alias("block"), F.pmod(F.xxhash64("id", "canonical"), F.lit(salts)).cast("int").alias("salt"))
     every = F.lit(True)
     for k, bit in enumerate(bits):
         every = every & (F.col(f"w{k}").bitwiseAND(bit) != 0)
-    probed = judged.join(bloom(known, blocks), "block", "left").withColumn("possible", F.coalesce(every, F.lit(False)))
-    columns = ["id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "possible", "listed"]
-    hits = probed.where("possible").join(known.withColumn("found", F.lit(True)), "canonical", "left").withColumn("listed", F.coalesce("found", F.lit(False)))
-    return hits.select(*columns).unionByName(probed.where("NOT possible").withColumn("listed", F.lit(False)).select(*columns)).withColumnRenamed("id", id_col)
+    probed = judged.join(bloom(known, blocks).select("*", copies), ["block", "salt"], "left").withColumn("possible", F.coalesce(every, F.lit(False)))
+    asked = probed.withColumn("entry", F.when(F.col("possible"), F.col("canonical")).otherwise(F.concat(F.lit("\n"), apart.cast("string"))))  # no URL has such a form
+    exact = asked.join(known.select(F.col("canonical").alias("entry"), F.lit(True).alias("found"), copies), ["entry", "salt"], "left").withColumn("listed", F.coalesce("found", F.lit(False)))
+    verdict = F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
+    return exact.select(F.col("id").alias(id_col), "host", "path", "rule", verdict, "possible", "listed")
 
 
 URLS_SQL = f"""
@@ -108,7 +113,8 @@ c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$'
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{o}', '{p}')" for v, o, p in RULES)}) AS t(verdict, rule_host, prefix)),
 best AS (SELECT page_id, host, path, canonical, arg_max(rules.verdict, length(rule_host || prefix)) AS ruled, arg_max(rule_host || prefix, length(rule_host || prefix)) AS rule
   FROM c LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, prefix) GROUP BY ALL),
-l AS (SELECT DISTINCT canonical FROM c WHERE {" OR ".join(f"host = '{x}' OR ends_with(host, '.{x}')" for x in LISTED_HOSTS)})
+l AS (SELECT sub || site || '.example.' || top || '/' || section || '/' || n || ending AS canonical
+  FROM (SELECT unnest({list(SUBDOMAINS)}) AS sub), (SELECT unnest({list(SITES)}) AS site), (SELECT unnest({list(TOPS)}) AS top), (SELECT unnest({list(SECTIONS)}) AS section), (SELECT unnest(range(1, {NUMBERS + 1})) AS n), (SELECT unnest({list(ENDINGS)}) AS ending) WHERE n % 3 <> 0)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, l.canonical IS NOT NULL AS listed
 FROM best LEFT JOIN l USING (canonical)
 """

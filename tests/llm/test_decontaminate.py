@@ -45,6 +45,9 @@ def test_odd_rows(spark):
     want = sorted(((i, *brute(t, [x for x in items if x[0] is not None])) for i, t, _ in docs), key=repr)
     for size in (10, 8_000_000):  # many blocks, one block
         assert sorted(map(tuple, decontaminate.contamination(df, bench, block_bytes=size).collect()), key=repr) == want
+        kept = decontaminate.decontaminated(df, bench, block_bytes=size)
+        assert kept.columns == df.columns and sorted(((r["doc_id"], r["n_hit"]) for r in kept.collect()), key=repr) == sorted(((d[0], d[2]) for d, w in zip(docs, [brute(t, [x for x in items if x[0] is not None]) for _, t, _ in docs], strict=True) if not w[4]), key=repr)
+    assert decontaminate.decontaminated(df, bench.limit(0)).count() == 7 and decontaminate.decontaminated(df.limit(0), bench).count() == 0
     assert [r["n_hit"] for r in decontaminate.contamination(df, bench.limit(0)).collect()] == [0] * 7
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
 

@@ -106,7 +106,7 @@ def test_top_k_equals_brute_force(spark, big):
 def test_url_parts_rules_and_list(spark):
     pages = [(1, "http://WWW.A.example.org/es/x?utm_source=q#t"), (2, "https://b.org"), (3, "https://example.org/en/12"), (4, "x://shop.com/fr/"), (5, "x://shop.com/de/1"), (6, None), (7, "no scheme"), (8, ""), (9, "http://casino-win.example.net/en/5/?utm_a=1&page=2"), (9, "http://casino-win.example.net/en/5/?utm_a=1&page=2"), (10, "https://other.net/en/5"), (11, "http://notexample.org/es/1"), (12, "http://www.casino-win.example.net/en/5?page=2#x")]
     df = spark.createDataFrame([(i, u, "v") for i, u in pages], "page_id long, url string, verdict string")
-    listed = urls.listed_urls(df.where("page_id = 9"), urls.LISTED_HOSTS)
+    listed = spark.createDataFrame([("casino-win.example.net/en/5?page=2",), ("casino-win.example.net/en/5?page=2",), (None,), ("b.org/x",)], "canonical string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["listed"]) for r in urls.filter_urls(df, listed).collect()}
     assert got == {
         1: ("www.a.example.org", "/es/x", "example.org/es/", "block", False), 2: ("b.org", "", None, "allow", False), 3: ("example.org", "/en/12", "example.org/en/1", "block", False),
@@ -116,6 +116,19 @@ def test_url_parts_rules_and_list(spark):
     assert urls.filter_urls(df, listed).count() == 13 and urls.filter_urls(df, listed.limit(0)).where("listed").count() == 0 and urls.filter_urls(df.limit(0), listed).count() == 0
 
 
+def test_a_url_that_most_pages_share_is_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.range(4000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "http://a.net/x").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("http://b.net/"), "id")).alias("url"))
+        out = urls.filter_urls(pages, urls.listed_urls(spark).unionByName(spark.createDataFrame([("a.net/x",)], "canonical string")))
+        assert out.where("listed").count() == out.where("page_id % 3 = 0 AND verdict = 'block'").count() == 1334 and out.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert urls.listed_urls(spark).count() == urls.listed_urls(spark).distinct().count() == 667 * 6 * 3 * 2 * 4 * 2
+
+
 def test_bloom_filter_has_no_false_negative_and_few_false_positives(spark):
     from pyspark.sql import functions as F
 
@@ -125,3 +138,13 @@ def test_bloom_filter_has_no_false_negative_and_few_false_positives(spark):
     assert out.where("page_id < 3000 AND NOT (possible AND listed AND verdict = 'block')").count() == 0
     assert out.where("page_id >= 3000 AND (listed OR verdict = 'block')").count() == 0
     assert out.where("page_id >= 3000 AND possible").count() < 150
+
+
+def test_filter_of_toxic_rows_equals_the_scores(spark):
+    rows = [("a vile slur here. fine words", 1), ("fine words only", 0)] * 30
+    model = toxicity.fit([(f"{t} number {k}", y) for k, (t, y) in enumerate(rows)], min_docs=2)
+    df = spark.createDataFrame([(k, t, "p") for k, (t, _) in enumerate(rows)] + [(90, None, "p"), (None, "", "p"), (91, "fine words only", None)], "doc_id long, text string, predicted string")
+    scored = {(r["doc_id"], r["predicted"]) for r in toxicity.toxicity(df, model).collect()}
+    kept = toxicity.not_toxic(df, model)
+    assert kept.columns == df.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((i for i, y in scored if not y), key=repr)
+    assert 0 < kept.count() < df.count() and toxicity.not_toxic(df.limit(0), model).count() == 0
