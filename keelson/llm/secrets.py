@@ -5,6 +5,8 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +29,67 @@ SPAN = "struct<start:int,kind:int,end:int,hash:string>"
 MARK = "[SECRET]"
 
 
-def matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches with their places in code points; those that are too short fall out.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
 
-    Places come from the lengths of what lies between: both lists are made once and folded in one pass.
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The state (of the SQL type ``kind``) before each item of an array, folded from ``zero`` by ``step``.
+
+    Growing an array copies it, so the items are folded in blocks of about the root of their number: first the state
+    before each block, then the states within each. Copies stay at n * sqrt(n) for n items of one text.
     """
-    pairs = F.zip_with(F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    none = F.array().cast(f"array<{kind}>")
+    more = lambda acc, state: F.struct(state.alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out"))
+
+    def fold(items: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), width), lambda at: F.slice(items, at + 1, width))
+        return let(blocks, states)
+
+    def states(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.struct(zero.alias("state"), none.alias("out")), lambda acc, block: more(acc, F.aggregate(block, acc["state"], step)), lambda acc: acc["out"])
+        within = lambda block, state: F.aggregate(block, F.struct(state.alias("state"), none.alias("out")), lambda acc, x: more(acc, step(acc["state"], x)), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, begins, within))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["found"])
-        more = F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
-        return F.when(x["found"].isNull(), acc).otherwise(more)
+    return let(items, fold)
 
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+def matches(text: Column, pattern: str, kind: int, group: int, least: int, more: Column | None = None) -> Column:
+    """Leftmost non-overlapping matches with their places in code points; those that are too short fall out.
+
+    Places come from the lengths of what lies between, added up. ``more`` names a further test of a match's ``found``.
+    """
+    gaps = F.transform(F.split(text, F.lit(pattern), -1), F.length)
+    found = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, x: F.struct(gap.alias("gap"), F.length(x).alias("n"), x.alias("found")))
     value = lambda x: F.regexp_extract(x["found"], pattern, group) if group else x["found"]
-    return F.transform(F.filter(found, lambda x: F.length(value(x)) >= least), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), F.sha2(value(x), 256).alias("hash")))
+    fits = lambda x: F.length(value(x)) >= least
+
+    def placed(found: Column) -> Column:
+        before = running(found, F.lit(0), lambda at, x: at + x["gap"] + F.coalesce(x["n"], F.lit(0)), "int")
+        return F.zip_with(before, found, lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("end"), x["found"].alias("found")))
+
+    held = F.filter(let(found, placed), lambda x: x["found"].isNotNull() & fits(x) & (F.lit(True) if more is None else more(x["found"])))
+    return F.transform(held, lambda x: F.struct(x["start"], x["kind"], x["end"], F.sha2(value(x), 256).alias("hash")))
 
 
-def candidate(text: Column, kind: int) -> Column:
-    """Further candidates, as ``matches`` gives them; letters, digits and many distinct characters are asked for."""
-    long = matches(text, CANDIDATE, kind, 0, 20)
-    mixed = lambda x: (F.length(F.regexp_replace(x, "[^0-9]", "")) >= 4) & (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 4) & (F.size(F.array_distinct(F.split(x, ""))) >= 10)
-    return F.filter(long, lambda x: mixed(F.substring(text, x["start"] + 1, x["end"] - x["start"])))
+def mixed(found: Column) -> Column:
+    """Letters, digits and many distinct characters, as made-up values have them."""
+    return (F.length(F.regexp_replace(found, "[^0-9]", "")) >= 4) & (F.length(F.regexp_replace(found, "[^A-Za-z]", "")) >= 4) & (F.size(F.array_distinct(F.split(found, ""))) >= 10)
+
+
+def beside(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``: both in one order, against the ends before and the starts after."""
+
+    def judged(both: Column) -> Column:
+        sure = lambda x: x["kind"] < len(BASE)
+        ends = running(both, F.lit(0), lambda end, x: F.when(sure(x), F.greatest(end, x["end"])).otherwise(end), "int")
+        starts = F.reverse(running(F.reverse(both), F.lit(2**31 - 1), lambda start, x: F.when(sure(x), F.least(start, x["start"])).otherwise(start), "int"))
+        around = F.zip_with(F.zip_with(both, ends, lambda x, end: F.struct(x.alias("x"), end.alias("end"))), starts, lambda y, start: F.struct(y["x"].alias("x"), y["end"].alias("end"), start.alias("start")))
+        return F.transform(F.filter(around, lambda y: ~sure(y["x"]) & (y["end"] <= y["x"]["start"]) & (y["start"] >= y["x"]["end"])), lambda y: y["x"])
+
+    return F.when(F.size(more) > 0, let(F.array_sort(F.concat(base, more)), judged)).otherwise(more)
 
 
 def scanned(docs: DataFrame, text_col: str) -> DataFrame:
@@ -59,9 +98,29 @@ def scanned(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.array_sort(F.concat(*[matches(text, pattern, k, group, least) for k, (_, pattern, group, least) in enumerate(BASE)]))
     some = docs.withColumn("__some", text.rlike(ANY))
-    with_base = some.withColumn("__base", F.when(F.col("__some"), base).otherwise(none).cast(f"array<{SPAN}>"))
-    beside = F.filter(candidate(text, len(BASE)), lambda x: ~F.exists("__base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return with_base.withColumn("__more", F.when(F.col("__some"), beside).otherwise(none).cast(f"array<{SPAN}>")).drop("__some")
+    both = some.withColumns({"__base": F.when(F.col("__some"), base).otherwise(none).cast(f"array<{SPAN}>"), "__long": F.when(F.col("__some"), matches(text, CANDIDATE, len(BASE), 0, 20, mixed)).otherwise(none).cast(f"array<{SPAN}>")})
+    return both.withColumn("__more", beside(F.col("__base"), F.col("__long")).cast(f"array<{SPAN}>")).drop("__some", "__long")
+
+
+def without(text: Column, spans: Column, chunk: int = 1024) -> Column:
+    """``text`` with each stretch of ``spans`` (by start) replaced by the mark; spans that overlap are one stretch.
+
+    A place in a string is found by counting from its begin, so the text is cut into chunks once and each piece between
+    two stretches is taken from its own few chunks.
+    """
+
+    def piece(chunks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / chunk).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, F.floor((b - 1) / chunk).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(near, a - first * chunk + 1, b - a)).otherwise(F.lit(""))
+
+    def cut(chunks: Column) -> Column:
+        ends = running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]), "int")
+        gaps = F.filter(F.zip_with(spans, ends, lambda x, at: F.struct(at.alias("a"), x["start"].alias("b"))), lambda g: g["b"] >= g["a"])
+        last = F.array(F.struct(F.array_max(F.transform(spans, lambda x: x["end"])).alias("a"), F.length(text).alias("b")))
+        return F.array_join(F.transform(F.concat(gaps, last), lambda g: piece(chunks, g["a"], g["b"])), MARK)
+
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)), cut)).otherwise(text)
 
 
 def ownership(evidence: DataFrame) -> DataFrame:
@@ -129,26 +188,21 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2, salts: int = 8) -> DataFrame:
     """``docs`` with every span that ``secrets`` reports replaced by ``[SECRET]``; all rows and columns stay.
 
-    Hashes are counted over all texts, as ``secrets`` counts them; only texts with further candidates are joined with
-    the counts, the others are settled where they are read.
+    Texts are scanned once; the rows with their spans are kept in the shared folder. Hashes are counted over all of
+    them, as ``secrets`` counts them; only texts with further candidates are joined with the counts, the others are
+    settled where they are read. Null and empty texts have no span and stay as they are; null owners and repositories
+    count as the empty name; a null id is kept; repeated rows are all kept; an empty table stays empty.
     """
-    found = findings(docs, id_col, text_col, *owner_columns(owner_col, list(repository_cols)))
-    live = live_hashes(found, max_owners, max_repositories, salts, F.size("more") > 0).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "live": "__live"})
-    own = scanned(docs, text_col)
-    plain = own.where(F.size("__more") == 0).withColumn("__spans", F.col("__base"))
-    rest = own.where(F.size("__more") > 0)
-    rest = rest.join(live, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__hash")), "left")
-    rest = rest.withColumn("__spans", F.array_sort(F.concat("__base", F.filter("__more", lambda x: F.coalesce(F.array_contains(F.col("__live"), x["hash"]), F.lit(False))))))
-    text = F.col(f"`{text_col}`")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cut = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(MARK)).alias("out"))
-        return F.when(x["start"] >= acc["at"], cut).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = [F.when(F.size("__spans") > 0, clean).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return plain.select(*out).unionByName(rest.select(*out))
+    owner, repository = owner_columns(owner_col, list(repository_cols))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    source = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), owner.alias("owner"), repository.alias("repository"))
+    held = durable(scanned(source, "text").select("row", "id", F.xxhash64("text").alias("text_hash"), "owner", "repository", F.col("__base").alias("base"), F.col("__more").alias("more")))
+    live = live_hashes(held, max_owners, max_repositories, salts, F.size("more") > 0).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
+    plain = held.where(F.size("more") == 0).select("row", F.col("base").alias("spans"))
+    rest = held.where(F.size("more") > 0).join(live, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+    rest = rest.select("row", F.array_sort(F.concat("base", F.filter("more", lambda x: F.coalesce(F.array_contains(F.col("live"), x["hash"]), F.lit(False))))).alias("spans"))
+    text = F.col("row")[text_col]
+    return plain.unionByName(rest).select(*[(without(text, F.col("spans")) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _sql() -> str:
