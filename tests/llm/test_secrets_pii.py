@@ -1,7 +1,11 @@
 import hashlib
+import random
 import re
+import time
 
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,7 +31,7 @@ def test_base_personal_data_equals_the_patterns(text):
 
 
 def test_trees_add_other_formats_and_leave_numbers_alone():
-    model = pii.train()
+    model = pii.train(precision=0.9)
     found = lambda t: pii.spans(t, *model)[1]
     assert [k for k, _, _ in found("please call tel (456) 555-2186 now")] == [3]
     assert [k for k, _, _ in found("mail contact: jane [at] host [dot] com thanks")] == [0]
@@ -38,6 +42,52 @@ def test_trees_add_other_formats_and_leave_numbers_alone():
     assert right / len(rows) > 0.9
 
 
+def brute_spans(text, model, cuts):
+    sure = brute_pii(text)
+    free = [p for p in sorted(set(pii.proposals(text))) if not any(p[1] < b and a < p[2] for _, a, b in sure)]
+    score = {p: model.logits(np.array([pii.features(text, *p)]))[0] for p in free}
+    taken = [(a, b) for _, a, b in sure]
+    added = []
+    for p in sorted(free, key=lambda p: (-score[p], p)):
+        if score[p] >= cuts[p[0]] and not any(p[1] < b and a < p[2] for a, b in taken):
+            taken.append(p[1:])
+            added.append(p)
+    return sure, sorted(added)
+
+
+def test_selection_equals_brute_force():
+    model = pii.train()
+    r = random.Random(5)
+    parts = ["a@b.co", "jane [at] host [dot] com", "(456) 555-2186", "call tel 456.555.2186", "4111.1111.1111.1111", "4111 1111 1111 1111", "2001:db8:1:2:3:4:5:6", "host", "10.0.0.1", "+1 456 555 2186", "look at this. It", "12:30:45:10", "and", "card", "2024-01-02"]
+    for _ in range(150):
+        text = " ".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert pii.spans(text, *model) == brute_spans(text, *model)
+
+
+def test_spans_of_a_long_text_take_linear_time():
+    model = pii.train()
+    took = []
+    for m in (5000, 20000):
+        begun = time.process_time()
+        sure, added = pii.spans("mail a@b.co tel (456) 555-2186 and " * m, *model)
+        took.append(time.process_time() - begun)
+        assert len(sure) == m
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_thresholds_are_calibrated_on_texts_that_the_trees_have_not_seen(sf_dir):
+    table = pq.read_table(sf_dir.replace("sf0.001", "sf0.1") + "/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts = [t for t in table if t and len(t) < 20000 and re.search("[0-9@]", t)]
+    x, y = pii.trials(texts[500:])
+    model, cuts = pii.train(texts[:500])
+    assert len(x) > 100 and len(set(cuts)) == len(cuts) and all(np.isfinite(cuts))
+    chosen = model.logits(x) >= np.array(cuts)[x[:, :4].argmax(axis=1)]
+    assert y[chosen].mean() >= 0.95 and chosen[y == 1].mean() > 0.7
+    slope, shift = pii.platt(np.array([-2.0, -1, 1, 2] * 50), np.array([0.0, 0, 1, 1] * 50))
+    assert slope > 1 and abs(shift) < 0.1
+    assert pii.calibrated(model, x[:0], y[:0], 0.95) == [float("inf")] * 4
+
+
 ROWS = [(1, "a@b.co 10.0.0.1 4111 1111 1111 1111 +1 (456) 555-2186", "x"), (1, "a@b.co 10.0.0.1 4111 1111 1111 1111 +1 (456) 555-2186", "x"), (2, None, None), (3, "", ""), (None, "q@r.st", "y"), (5, "9" * 50000 + " a" * 50000 + "@", "z")]
 
 
@@ -122,3 +172,21 @@ def test_long_runs_take_linear_time(text):
 
 def test_parts_with_thousands_of_zeros():
     assert pii.base("0" * 6000 + "1.2.3.4") == [(1, 0, 6007)] and pii.base("9" * 6000 + ".2.3.4") == []
+
+
+def test_many_spans_of_one_text(spark):
+    n = 30_000
+    df = spark.createDataFrame([(1, f"{LIVE} token=abcdefgh1234 " * n, "s1", "en"), (2, "token=abcdefgh1234", "s2", "en")], "doc_id long, text string, source string, lang string")
+    begun = time.time()
+    got = {r["doc_id"]: r for r in secrets.secrets(df).collect()}
+    assert got[1]["n_assign"] == n and got[1]["spans"].count("live") == n and got[2]["n_copied"] == 1
+    assert [r["text"] for r in secrets.redacted(df).orderBy("doc_id").collect()] == ["[SECRET] [SECRET] " * n, "[SECRET]"]
+    assert time.time() - begun < 120
+
+
+def test_running_states_equal_a_plain_fold(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(list(range(k, 3 * k)),) for k in (0, 1, 2, 5, 50)]
+    out = spark.createDataFrame(rows, "a array<int>").select("a", secrets.running(F.col("a"), F.lit(7), lambda s, x: s + x, "int").alias("s")).collect()
+    assert [r["s"] for r in out] == [[7 + sum(a[:k]) for k in range(len(a))] for (a,) in rows]
