@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -60,118 +61,139 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return most
 
 
-def fillings(room: int, counts: dict[int, int], first: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``: the fullest with the longest lengths, then others by waste.
+def fillings(room: int, left: dict[int, int], effort: int = 200) -> Iterator[tuple[int, ...]]:
+    """The undominated fillings of ``room`` from the lengths that are ``left``, by waste, one at a time.
 
-    A filling is dominated when another holds its items merged into longer ones or leaves less room; so for each total
-    just those are listed that take the longest lengths first, with and without the single longest one.
+    A filling is dominated when items of it (or none) can be swapped for one longer or equal length that is left over
+    and still fits: what is set free packs wherever that length would have. The sums of its parts and the lengths left
+    over are sets of bits, so the test is a few operations, and it cuts a filling as soon as a part of it is dominated:
+    lengths are taken in descending order, so whatever a sum could be swapped for is settled by then. All are listed
+    unless there are more than ``effort`` parts of fillings to look at.
     """
-    usable = [k for k in sorted(counts) if counts[k] and k <= room]
-    if not usable:
-        return [()]
+    usable = sorted(k for k, n in left.items() if n and k <= room)
     reach, bits, mask = [], 1, (1 << (room + 1)) - 1
     for k in usable:
-        step, left = bits, min(counts[k], room // k)
-        size = 1
-        while left > 0:
-            take = min(size, left)
-            step |= step << (k * take)
-            step &= mask
-            left -= take
-            size *= 2
         reach.append(bits)
-        bits = step
-    out: list[tuple[int, ...]] = []
-
-    def build(total: int, skip: int) -> tuple[int, ...] | None:
-        found: list[int] = []
-        for at in range(len(usable) - 1, -1, -1):
-            if not total:
-                break
+        size, rest = 1, min(left[k], room // k)
+        while rest > 0:
+            take = min(size, rest)
+            bits |= bits << (k * take) & mask
+            rest -= take
+            size *= 2
+    free = sum(1 << k for k in usable)
+
+    def longer(over: int, waste: int) -> int:
+        """Sums that a length left over exceeds by 1 to ``waste``."""
+        out, reached = over >> 1 if waste else 0, min(1, waste)
+        while reached < waste:
+            step = min(reached, waste - reached)
+            out |= out >> step
+            reached += step
+        return out
+
+    def build(at: int, total: int, waste: int, over: int, sums: int, several: int, found: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """over: lengths left over; sums, several: sums of any, and of two or more, of the items found."""
+        nonlocal effort
+        effort -= 1
+        if not total:
+            if not longer(over, waste) & 1:  # nothing left over fits beside them
+                yield found
+            return
+        while at >= 0 and usable[at] > total:
+            at -= 1
+        for at in range(at, -1, -1):
             k = usable[at]
-            if k == skip:
-                if not reach[at] >> total & 1:
-                    return None
-                continue
-            for n in range(min(counts[k], total // k), -1, -1):
-                if reach[at] >> (total - n * k) & 1:
-                    found += [k] * n
-                    total -= n * k
+            n, own_sums, own_several, own_found, rest = 0, sums, several, found, total
+            while n < left[k] and rest >= k and effort > 0:  # one more of this length
+                n += 1
+                own_several |= (own_sums & ~1) << k
+                own_sums |= own_sums << k
+                own_found, rest = (*own_found, k), rest - k
+                own_over = over & ~(1 << k) if n == left[k] else over
+                if own_several & own_over or own_sums & ~1 & longer(own_over >> k << k, waste):
                     break
-            else:
-                return None
-        return tuple(found) if not total else None
-
-    total, tried = bits.bit_length() - 1, 0
-    while total >= 0 and tried < most:
-        tried += 1
-        main = build(total, 0)
-        if main is not None:
-            out.append(main)
-            if main and len(out) < most:
-                other = build(total, main[0])
-                if other is not None and other != main:
-                    out.append(other)
-        below = bits & ((1 << total) - 1)
-        total = below.bit_length() - 1
-    return out[:most] or [()]
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = 4000, width: int = 3) -> list[Pattern]:
+                if reach[at] >> rest & 1:
+                    yield from build(at - 1, rest, waste, own_over, own_sums, own_several, own_found)
+            if effort <= 0 or not (reach[at] >> total) & 1:
+                return  # without this length, the smaller ones cannot fill what is left
+
+    for waste in range(room + 1):
+        if effort > 0 and bits >> (room - waste) & 1:
+            yield from build(len(usable) - 1, room - waste, waste, free, 1, 0, ())
+
+
+def few_first(room: int, found: Iterator[tuple[int, ...]], slack: int, look: int = 8) -> Iterator[tuple[int, ...]]:
+    """``found`` with the next ``look`` of at most ``slack`` waste in another order: those of the fewest items first.
+
+    Short documents fill any room, so they are worth more later than a little waste now.
+    """
+    begun = list(islice(found, look))
+    near = [f for f in begun if room - sum(f) <= slack]
+    yield from sorted(near, key=lambda f: (len(f), room - sum(f), [-k for k in f]))
+    yield from begun[len(near) :]
+    yield from found
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = 3000, single: int = 400, slacks: tuple[int, ...] = (8, 32, 0)) -> list[Pattern]:
     """Bin completion: fill around the longest length left, branch over undominated fillings, prune by waste.
 
-    Equal sequences are filled together, so a descent has about as many steps as there are distinct lengths, however
-    many documents there are. Best-fit decreasing is the first incumbent; a branch is cut when its waste reaches the
-    incumbent's. The first descent always ends; after ``nodes`` steps in all, the incumbent stands.
+    Best-fit decreasing is the first incumbent. A branch is cut when its waste leaves no room for a better packing, or
+    when the sequences that what is left needs at least do not either. While more than ``single`` documents are left,
+    equal sequences are filled together, so a descent has about as many steps as there are distinct lengths, however
+    many documents there are; below, every sequence is a step of its own.
+
+    The search ends with a packing that meets the lower bound, or when it has seen everything, or after about ``nodes``
+    steps: they are shared by depth-first searches that order fillings by different slacks. A search has at least two
+    steps for each distinct length, so that its first descent ends.
     """
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
     volume = sum(k * n for k, n in counts.items())
-    best = best_fit(counts, capacity)
-    best_bins, least = sum(n for _, n in best), lower_bound(counts, capacity)
-    spent = 0
-    # Limited-discrepancy search: descent d takes the second choice at one branching point, then best choices.
-    branching: list[tuple[list[Pattern], dict[int, int], int, int]] = [([], dict(counts), 0, 0)]
-    seen = 0
-    while branching and best_bins > least and (spent < nodes or seen == 0):
-        path, left, waste, choice = branching.pop(0)
-        path, left = list(path), dict(left)
-        first_descent = seen == 0
-        seen += 1
-        allowed = best_bins * capacity - volume
-        pruned = False
-        while left:
+    best, least = best_fit(counts, capacity), lower_bound(counts, capacity)
+    best_bins = sum(n for _, n in best)
+
+    def search(slack: int, steps: int) -> bool:
+        """Depth first; whether everything was seen."""
+        nonlocal best, best_bins
+        frames: list[tuple] = []
+        path: list[Pattern] = []
+
+        def enter(left: dict[int, int], waste: int) -> None:
             top = max(left)
-            spent += 1
-            left[top] -= 1
-            found = fillings(capacity - top, left, top, width)
-            left[top] += 1
-            if choice >= len(found):
-                pruned = True
-                break
-            if choice == 0 and len(found) > 1 and len(branching) < nodes // 8:
-                branching.append((list(path), dict(left), waste, 1))
-            filling = (top, *found[choice])
-            choice = 0
-            need = Counter(filling)
-            times = min(left[k] // n for k, n in need.items())
-            lost = capacity - sum(filling)
-            if not first_descent and waste + lost * times >= allowed:
-                pruned = True
-                break
-            waste += lost * times
+            rest = dict(left)
+            rest[top] -= 1
+            frames.append((left, waste, top, few_first(capacity - top, fillings(capacity - top, rest), slack)))
+
+        enter(counts, 0)
+        while frames and best_bins > least:
+            left, waste, top, choices = frames[-1]
+            filling, allowed = next(choices, None), (best_bins - 1) * capacity - volume
+            if filling is None:
+                frames.pop()
+                if path:
+                    path.pop()
+                continue
+            filling = (top, *filling)
+            need, many = Counter(filling), sum(left.values()) > single
+            times = min(left[k] // n for k, n in need.items()) if many else 1
+            steps -= 1
+            rest = {k: n - need[k] * times for k, n in left.items() if n > need[k] * times}
             path.append((filling, times))
-            for k, n in need.items():
-                left[k] -= n * times
-                if not left[k]:
-                    del left[k]
-            if not first_descent and spent >= nodes:
-                pruned = True
-                break
-        bins = sum(n for _, n in path)
-        if not pruned and bins < best_bins:
-            best, best_bins = path, bins
+            waste += (capacity - sum(filling)) * times
+            if not rest and sum(n for _, n in path) < best_bins:
+                best, best_bins = list(path), sum(n for _, n in path)
+            if not rest or waste > allowed or not many and sum(n for _, n in path) + lower_bound(rest, capacity) >= best_bins:
+                path.pop()
+            else:
+                enter(rest, waste)
+            if steps <= 0:
+                return False
+        return True
+
+    for slack in slacks:
+        if best_bins <= least or search(slack, max(nodes // len(slacks), 2 * len(counts))):
+            break
     merged = Counter()
     for filling, n in best:
         merged[tuple(sorted(filling, reverse=True))] += n
@@ -218,7 +240,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     return source.mapInArrow(encode, f"id {kind}, n_ids long, sums array<bigint>")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, nodes: int = 4000, rows_per_bucket: int = 5_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, nodes: int = 3000, rows_per_bucket: int = 5_000) -> DataFrame:
     """Sequences of at most ``capacity`` tokens: (id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
     A document is its ids and ``end_id``. One longer than ``capacity`` is cut into full pieces after a shorter first one;

@@ -1,6 +1,7 @@
 import struct
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from hypothesis import given, settings
@@ -109,6 +110,46 @@ def test_bin_completion_never_loses_to_best_fit(counts):
     assert packing.lower_bound(counts, 30) <= bins <= sum(n for _, n in packing.best_fit(counts, 30))
 
 
+def subsets(left):
+    out = {()}
+    for k, n in sorted(left.items(), reverse=True):
+        out = {(*f, *([k] * m)) for f in out for m in range(n + 1)}
+    return out
+
+
+def packs(items, bins):
+    if not items:
+        return True
+    return any(packs(items[1:], [*bins[:i], b - items[0], *bins[i + 1 :]]) for i, b in enumerate(bins) if b >= items[0])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 14), st.integers(1, 2), min_size=1, max_size=6), st.integers(1, 16))
+def test_fillings_are_undominated_and_dominate_all_others(left, room):
+    found = list(packing.fillings(room, left, effort=10**6))
+    every = {f for f in subsets(left) if sum(f) <= room}
+    assert set(found) <= every and len(set(found)) == len(found)
+    assert [room - sum(f) for f in found] == sorted(room - sum(f) for f in found)
+    for f in every:  # some filling found has room for its items, within its own items or beside them
+        assert any(packs(f, [*g, room - sum(g)]) for g in found)
+    for f in found:  # nothing that is left over can take the place of a part of it
+        rest = Counter(left) - Counter(f)
+        for n in range(len(f) + 1):
+            for part in combinations(f, n):
+                assert not any(rest[x] and sum(part) <= x <= sum(part) + room - sum(f) and (n > 1 or x > sum(part)) for x in rest)
+
+
+def optimum(counts, capacity):
+    items = sorted(Counter(counts).elements(), reverse=True)
+    return next(n for n in range(packing.lower_bound(counts, capacity), len(items) + 1) if packs(items, [capacity] * n))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(2, 20), st.integers(1, 2), min_size=1, max_size=6))
+def test_bin_completion_finds_the_optimum_of_small_tables(counts):
+    assert sum(n for _, n in packing.complete(counts, 20)) == optimum(counts, 20)
+
+
 def test_bin_completion_beats_best_fit_where_it_is_known_to_fail():
     # best-fit decreasing needs 3 for (6, 5, 4, 3, 2... ) style lists; completion finds the two full sequences
     counts = Counter([6, 5, 5, 4, 4, 3, 3])
