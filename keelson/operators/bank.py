@@ -1,6 +1,6 @@
 """An append-only versioned bank on parquet: commits, snapshots, rewrites, compaction and rollback.
 
-A commit writes its rows and its deaths as new files, then replaces the manifest; files that no manifest names do not
+A commit writes its rows and its deaths as new files, then a manifest of its own; files that no manifest names do not
 exist for a reader, so a lost writer leaves nothing to undo. A cursor is the number of a commit.
 """
 
@@ -41,29 +41,42 @@ class Bank:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
     def manifest(self) -> dict:
+        """The newest manifest: the one of the last turn."""
         fs, path = self._fs()
-        stream = fs.open(path(f"{self.root}/manifest.json"))
+        found = fs.globStatus(path(f"{self.root}/manifest-*.json"))
+        if not found:
+            raise FileNotFoundError(self.root)
+        stream = fs.open(max((f.getPath() for f in found), key=lambda p: p.getName()))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
     def _publish(self, manifest: dict) -> None:
-        """The new manifest is written beside the old one and renamed over it."""
+        """The manifest that follows the one it was made from: written aside, then renamed to a name that must not exist.
+
+        Older manifests stay, so a reader finds one at any time. Of two writers that follow the same one the second fails.
+        """
         fs, path = self._fs()
-        new, now = path(f"{self.root}/manifest-{uuid.uuid4().hex}"), path(f"{self.root}/manifest.json")
+        sc, turn = self.spark.sparkContext, manifest.get("turn", 0) + 1
+        manifest = manifest | {"turn": turn}
+        new, now = path(f"{self.root}/_manifest-{uuid.uuid4().hex}"), path(f"{self.root}/manifest-{turn:012}.json")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        fs.delete(now, False)
-        if not fs.rename(new, now):
-            raise OSError(f"cannot publish {now}")
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        to = hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+        try:
+            to.rename(fs.makeQualified(new), fs.makeQualified(now), sc._gateway.new_array(hadoop.Options.Rename, 0))
+        except Exception as e:
+            fs.delete(new, False)
+            raise RuntimeError("another writer has committed") from e
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, dataset: str, spaces: list[str]) -> Bank:
         bank = cls(spark, root.rstrip("/"))
         fs, path = bank._fs()
-        if fs.exists(path(f"{bank.root}/manifest.json")):
+        if fs.globStatus(path(f"{bank.root}/manifest-*.json")):
             raise FileExistsError(bank.root)
         fs.mkdirs(path(bank.root))
         bank._publish({"dataset": dataset, "spaces": sorted(spaces), "cursor": 0, "commits": []})
@@ -115,8 +128,6 @@ class Bank:
                 entry[f"{kind}_digest"] = digest(self.spark.read.schema(schema).parquet(f"{self.root}/{name}"))
         before = m["commits"][-1]["chain"] if m["commits"] else ""
         entry["chain"] = hashlib.sha256((before + json.dumps(entry, sort_keys=True)).encode()).hexdigest()
-        if self.manifest()["cursor"] != m["cursor"]:
-            raise RuntimeError("another writer has committed")
         self._publish(m | {"cursor": at, "commits": [*m["commits"], entry]})
         return at
 

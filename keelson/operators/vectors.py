@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -33,12 +33,12 @@ def prepared(df: DataFrame, id_col: str, vector_col: str, domain: Column | None,
     ).where("id IS NOT NULL AND vector IS NOT NULL")
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", causal: str | None = None, same_domain: bool = False, exclude_self: bool = True, excluded: dict[int, list[int]] | None = None, queries_per_block: int = 2048) -> DataFrame:
+def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", causal: str | None = None, same_domain: bool = False, exclude_self: bool = True, excluded: dict[int, list[int]] | None = None, most: float | None = None, queries_per_block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the k best visible items of each query by (score desc, domain, id).
 
     ``items`` and ``queries`` come from ``prepared``. Filters hold before the ranking: ``causal`` is "strict"
     (item.time < query.time) or "inclusive" (<=), ``same_domain`` asks for the query's domain, ``excluded`` names items
-    by query. The queries are a stated set: they are read in blocks and broadcast against all items; a task sends at
+    by query, scores over ``most`` do not count. The queries are a stated set: they are read in blocks and broadcast against all items; a task sends at
     most k rows for a query.
     """
     n = queries.count()
@@ -46,13 +46,24 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine",
     out = None
     for block in range(blocks):
         rows = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).collect()
-        found = _knn_block(items, rows, k, metric, causal, same_domain, exclude_self, excluded or {})
+        found = _knn_block(items, rows, k, metric, causal, same_domain, exclude_self, excluded or {}, most)
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "domain", "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
-def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str | None, same_domain: bool, exclude_self: bool, excluded: dict[int, list[int]]) -> DataFrame:
+def best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, score, domain, id), the k best of each query by (score desc, domain, id), in that order."""
+    q, s, d, i = rows
+    order = np.lexsort((i, d, -s, q))
+    q = q[order]
+    begins = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])[: len(q)]
+    place = np.arange(len(q)) - np.repeat(begins, np.diff(np.r_[begins, len(q)])) if len(q) else q
+    order = order[place < k]
+    return [c[order] for c in rows]
+
+
+def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str | None, same_domain: bool, exclude_self: bool, excluded: dict[int, list[int]], most: float | None) -> DataFrame:
     rows = sorted(rows, key=lambda r: r["id"])
     keys = np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0))
     keys = unit(keys) if metric == "cosine" and len(rows) else keys
@@ -62,37 +73,72 @@ def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str |
         import pyarrow as pa
 
         keys, ids, domains, times, excluded = state.value
-        held = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]  # score, domain, id
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # query, score, domain, id
         for batch in batches:
             own, domain, time = (batch.column(c).to_numpy() for c in ("id", "domain", "time"))
-            if not len(own) or not len(ids):
-                continue
             x = matrix(batch.column("vector"))
-            scores = np.round(keys @ (unit(x) if metric == "cosine" else x).T, DIGITS)
-            for q in range(len(ids)):
-                seen = np.ones(len(own), bool)
+            for begin in range(0, len(own) if len(ids) else 0, 4096):
+                i, d, t = (c[begin : begin + 4096] for c in (own, domain, time))
+                part = x[begin : begin + 4096]
+                scores = np.round(keys @ (unit(part) if metric == "cosine" else part).T, DIGITS)
+                hidden = np.zeros(scores.shape, bool)
                 if exclude_self:
-                    seen &= own != ids[q]
+                    hidden |= i[None] == ids[:, None]
                 if same_domain:
-                    seen &= domain == domains[q]
+                    hidden |= d[None] != domains[:, None]
                 if causal:
-                    seen &= (time < times[q]) if causal == "strict" else (time <= times[q])
-                if int(ids[q]) in excluded:
-                    seen &= ~np.isin(own, excluded[int(ids[q])])
-                at = np.flatnonzero(seen)
-                if len(at) > 4 * k:  # what may be among the k best, ties included
-                    edge = -np.partition(-scores[q, at], k - 1)[k - 1]
-                    at = at[scores[q, at] >= edge]
-                s, d, i = (np.concatenate([a, b]) for a, b in zip(held[q], (scores[q, at], domain[at], own[at]), strict=True))
-                best = np.lexsort((i, d, -s))[:k]
-                held[q] = s[best], d[best], i[best]
-        if held:
-            s, d, i = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in held])), pa.array(i), pa.array(d), pa.array(s)], names=["query_id", "id", "domain", "score"])
+                    hidden |= (t[None] >= times[:, None]) if causal == "strict" else (t[None] > times[:, None])
+                if most is not None:
+                    hidden |= scores > most
+                for q in np.flatnonzero(np.isin(ids, list(excluded))):
+                    hidden[q] |= np.isin(i, excluded[int(ids[q])])
+                scores[hidden] = -np.inf
+                if scores.shape[1] > k:  # what may be among the k best, ties included
+                    edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    hidden |= scores < edge[:, None]
+                q, at = np.nonzero(~hidden)
+                held = best([np.concatenate(c) for c in zip(held, (q, scores[q, at], d[at], i[at]), strict=True)], k)
+        q, s, d, i = held
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q] if len(ids) else q), pa.array(i), pa.array(d), pa.array(s)], names=["query_id", "id", "domain", "score"])
 
     return items.mapInArrow(search, "query_id long, id long, domain long, score double")
 
 
+def _bounded(rows: DataFrame) -> list:
+    """The rows of a bounded table, by id; more than MAX_ANCHORS are refused."""
+    found = rows.limit(MAX_ANCHORS + 1).collect()
+    if len(found) > MAX_ANCHORS:
+        raise ValueError(f"more than {MAX_ANCHORS} anchors: ask in blocks")
+    return sorted(found, key=lambda r: r["id"])
+
+
+def folded(items: DataFrame, queries: DataFrame, sums: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """(query_id, a column for each of ``sums``): sums over all other items of functions of (cosines, same domain).
+
+    The queries are a stated, bounded set. Each task adds up what it reads and sends one row per query.
+    """
+    rows = _bounded(queries)
+    state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0)), np.array([r["id"] for r in rows], np.int64), np.array([r["domain"] for r in rows], np.int64)))
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        keys, ids, domains = state.value
+        total = {name: np.zeros(len(ids)) for name in sums}
+        for batch in batches:
+            own, domain, x = batch.column("id").to_numpy(), batch.column("domain").to_numpy(), matrix(batch.column("vector"))
+            for begin in range(0, len(own) if len(ids) else 0, 1024):
+                part = slice(begin, begin + 1024)
+                score = np.round(unit(keys) @ unit(x[part]).T, DIGITS)
+                other, same = own[part][None] != ids[:, None], domain[part][None] == domains[:, None]
+                for name, value in sums.items():
+                    total[name] += np.where(other, value(score, same), 0.0).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(t) for t in total.values()]], names=["query_id", *total])
+
+    parts = items.mapInArrow(work, "query_id long, " + ", ".join(f"{name} double" for name in sums))
+    return parts.groupBy("query_id").agg(*[F.sum(name).alias(name) for name in sums])
+
+
 def scored(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, query_domain, id, domain, score): cosine of a stated, bounded set of queries with every other item."""
     return _against(items, queries, None, exclude_self=True).select(F.col("anchor").alias("query_id"), F.col("anchor_domain").alias("query_domain"), "id", "domain", "score")
@@ -107,10 +153,7 @@ def nearest(items: DataFrame, anchors: DataFrame, c: int, distance: bool = False
 
 
 def _against(items: DataFrame, anchors: DataFrame, c: int | None, exclude_self: bool = False, distance: bool = False) -> DataFrame:
-    rows = anchors.limit(MAX_ANCHORS + 1).collect()
-    if len(rows) > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors: ask in blocks")
-    rows = sorted(rows, key=lambda r: r["id"])
+    rows = _bounded(anchors)
     state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0)), np.array([r["id"] for r in rows], np.int64), np.array([r["domain"] for r in rows], np.int64)))
 
     def work(batches: Iterator) -> Iterator:
@@ -141,25 +184,27 @@ def _against(items: DataFrame, anchors: DataFrame, c: int | None, exclude_self:
 
 def knn_distances(items: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """(anchor, id, score): the k nearest items of each anchor by squared distance (negative), k rows per task and anchor."""
-    rows = sorted(anchors.limit(MAX_ANCHORS).collect(), key=lambda r: r["id"])
+    rows = _bounded(anchors)
     state = items.sparkSession.sparkContext.broadcast((np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0)), np.array([r["id"] for r in rows], np.int64)))
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         keys, ids = state.value
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]  # score, id
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # anchor, score, none, id
         for batch in batches:
             x, own = matrix(batch.column("vector")), batch.column("id").to_numpy()
-            if len(own) and len(ids):
-                score = np.round(-((keys**2).sum(1)[:, None] - 2 * keys @ x.T + (x**2).sum(1)[None]), DIGITS)
-                for q in range(len(ids)):
-                    s, i = np.concatenate([held[q][0], score[q]]), np.concatenate([held[q][1], own])
-                    best = np.lexsort((i, -s))[:k]
-                    held[q] = s[best], i[best]
-        if held:
-            s, i = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(h[0]) for h in held])), pa.array(i), pa.array(s)], names=["anchor", "id", "score"])
+            for begin in range(0, len(own) if len(ids) else 0, 1024):
+                part, i = x[begin : begin + 1024], own[begin : begin + 1024]
+                score = np.round(-((keys**2).sum(1)[:, None] - 2 * keys @ part.T + (part**2).sum(1)[None]), DIGITS)
+                if score.shape[1] > k:
+                    edge = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+                    q, at = np.nonzero(score >= edge[:, None])
+                else:
+                    q, at = np.nonzero(np.ones(score.shape, bool))
+                held = best([np.concatenate(c) for c in zip(held, (q, score[q, at], np.zeros(len(q), np.int64), i[at]), strict=True)], k)
+        q, s, _, i = held
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q] if len(ids) else q), pa.array(i), pa.array(s)], names=["anchor", "id", "score"])
 
     found = items.mapInArrow(work, "anchor long, id long, score double")
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")

@@ -73,16 +73,19 @@ def tf_cosine_topk(spark, sf_dir):
     return shown(L.cosine(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), 10, None, **NAMES))
 
 
-@query("T17 L11", f"""WITH b AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, term) AS r, term, n FROM (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY item_id, term)),
-d AS (SELECT DISTINCT doc_id, unnest({TERMS.format('text')}) AS term FROM documents WHERE lang = 'en'), o AS (SELECT item_id, doc_id, CAST(sum(n) AS BIGINT) AS overlap FROM b JOIN d USING (term) GROUP BY item_id, doc_id)
-SELECT item_id, doc_id, overlap FROM o QUALIFY rank() OVER (PARTITION BY item_id ORDER BY overlap DESC) = 1""")
+@query("T17 L11", f"""WITH b AS (SELECT item_id, term, count(*) AS n FROM (SELECT item_id, unnest({TERMS.format('text')}) AS term FROM benchmark) GROUP BY item_id, term),
+d AS (SELECT DISTINCT doc_id, unnest({TERMS.format('text')}) AS term FROM documents), o AS (SELECT item_id, doc_id, CAST(sum(n) AS BIGINT) AS overlap FROM b JOIN d USING (term) GROUP BY item_id, doc_id),
+m AS (SELECT item_id, max(overlap) AS overlap FROM o GROUP BY item_id) SELECT i.item_id, o.doc_id, coalesce(o.overlap, 0) AS overlap FROM (SELECT DISTINCT item_id FROM benchmark) i LEFT JOIN m USING (item_id) LEFT JOIN o ON o.item_id = m.item_id AND o.overlap = m.overlap""")
 def best_overlap_ties(spark, sf_dir):
-    """All rows that attain the largest weighted overlap."""
-    q = L.asked_terms(table(spark, sf_dir, "benchmark"), "item_id", T.terms(F.col("text")))
-    have = L.counted(docs(spark, sf_dir).where("lang = 'en'"), "doc_id", F.array_distinct(T.terms(F.col("text"))))
+    """All rows that attain the largest weighted overlap; an item that overlaps with none, where all rows tie, has a null row."""
+    items = table(spark, sf_dir, "benchmark")
+    q = L.asked_terms(items, "item_id", T.terms(F.col("text")))
+    have = L.held_terms(docs(spark, sf_dir), q, "doc_id", T.terms(F.col("text")))
     o = q.join(have, "term").groupBy("query_id", "id").agg(F.sum("qtf").alias("overlap"))
     best = o.groupBy("query_id").agg(F.max("overlap").alias("overlap"))
-    return o.join(best, ["query_id", "overlap"]).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "overlap")
+    ties = o.join(best, ["query_id", "overlap"])
+    every = items.select(F.col("item_id").alias("query_id")).distinct()
+    return every.join(ties, "query_id", "left").select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
 @query("A23 L16", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, min(doc_id) AS first_doc FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term")
@@ -116,11 +119,22 @@ def ambiguous_cues(spark, sf_dir):
 @query("P01 F29 F20", f"""WITH b AS ({SH8.format(id='item_id', of='benchmark')}), d AS ({SH8.format(id='doc_id', of='documents')}), n AS (SELECT doc_id, count(*) AS own FROM d GROUP BY doc_id), h AS (SELECT doc_id, count(DISTINCT d.g) AS hit FROM d JOIN b USING (g) GROUP BY doc_id)
 SELECT doc_id, hit, own, round(hit * 1.0 / own, 6) AS share FROM h JOIN n USING (doc_id)""")
 def benchmark_contamination(spark, sf_dir):
-    """The share of a document's 8-word runs that a test item has; the runs of a document never leave its row."""
-    held = table(spark, sf_dir, "benchmark").select(F.explode(T.shingles(T.terms(F.col("text")), 8)).alias("g")).distinct()
-    d = docs(spark, sf_dir).select("doc_id", T.shingles(T.terms(F.col("text")), 8).alias("s")).select("doc_id", F.size("s").cast("long").alias("own"), F.explode("s").alias("g"))
-    hits = d.join(held, "g", "left_semi").groupBy("doc_id", "own").agg(F.count("*").alias("hit"))
-    return hits.select("doc_id", "hit", "own", F.round(F.col("hit") / F.col("own"), 6).alias("share"))
+    """The share of a document's 8-word runs that a test item has.
+
+    Runs are met and counted by a hash of 64 bits of their words' hashes, which builds no text; only those whose hash a
+    test item has are then written out and compared, so hardly any row leaves its document.
+    """
+    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    of = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, 8)))
+    run = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
+    words = lambda df, *more: df.select(*more, T.terms(F.col("text")).alias("w")).where(F.size("w") > 0)
+    asked = words(table(spark, sf_dir, "benchmark"), "item_id").select("w", F.posexplode(of(hashes(F.col("w")))).alias("at", "h")).select("h", run(F.col("w"), F.col("at") + 1).alias("g")).distinct()
+    d = words(docs(spark, sf_dir), "doc_id").select("doc_id", of(hashes(F.col("w"))).alias("h"))
+    d = d.select("doc_id", F.size(F.array_distinct("h")).cast("long").alias("own"), F.posexplode("h").alias("at", "h"))
+    met = d.join(asked.select("h").distinct(), "h", "left_semi").groupBy("doc_id", "own").agg(F.collect_set("at").alias("at"))  # within one document
+    hits = words(docs(spark, sf_dir).select("doc_id", "text").join(met, "doc_id"), "doc_id", "own", "at").select("doc_id", "own", F.explode(F.array_distinct(F.transform("at", lambda i: run(F.col("w"), i + 1)))).alias("g"))
+    counted = hits.join(asked.select("g").distinct(), "g", "left_semi").groupBy("doc_id", "own").agg(F.count("*").alias("hit"))
+    return counted.select("doc_id", "hit", "own", F.round(F.col("hit") / F.col("own"), 6).alias("share"))
 
 
 @query("K14 K01 N07", "SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS kept FROM documents GROUP BY text HAVING count(*) > 1")
@@ -198,10 +212,10 @@ def substituted_records(spark, sf_dir):
     return docs(spark, sf_dir).where(F.contains("text", F.lit("the")) & changed).select("doc_id", changed.alias("changed"), F.substr(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("\x1fedit1")), 256), F.lit(1), F.lit(32)).alias("new_id"))
 
 
-@query("F18 C51", f"""WITH b AS (SELECT item_id, list_distinct({TERMS.format('text')}) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct({TERMS.format('text')}) AS w FROM documents WHERE lang = 'en')
-SELECT item_id, doc_id, CAST(len(list_intersect(b.w, d.w)) AS INTEGER) AS seen FROM b, d WHERE len(list_intersect(b.w, d.w)) * 2 >= len(b.w) AND len(list_intersect(b.w, d.w)) > 0""")
+@query("F18", f"""WITH b AS (SELECT item_id, list_distinct({TERMS.format('text')}) AS w FROM benchmark), t AS (SELECT item_id, len(w) AS own, unnest(w) AS term FROM b), d AS (SELECT DISTINCT doc_id, unnest({TERMS.format('text')}) AS term FROM documents)
+SELECT item_id, doc_id, CAST(count(*) AS INTEGER) AS seen FROM t JOIN d USING (term) GROUP BY item_id, doc_id, own HAVING count(*) * 2 >= own""")
 def grounded_titles(spark, sf_dir):
-    """Items at least half of whose words a queried document has, through the inverted index of the items' words."""
+    """Items at least half of whose words a document has, through the inverted index of the items' words."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.terms(F.col("text"))).alias("w")).select("item_id", F.size("w").alias("own"), F.explode("w").alias("term"))
-    d = docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    d = L.held_terms(docs(spark, sf_dir), b, "doc_id", T.terms(F.col("text"))).withColumnRenamed("id", "doc_id")
     return b.join(d, "term").groupBy("item_id", "doc_id", "own").agg(F.count("*").cast("int").alias("seen")).where("seen * 2 >= own").select("item_id", "doc_id", "seen")

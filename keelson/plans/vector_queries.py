@@ -5,6 +5,7 @@ Queries of a search are the rows whose id is divisible by 50; label stands for t
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -174,9 +175,7 @@ def field_stats(spark, sf_dir):
 def knn_self_join_dedup(spark, sf_dir):
     """Neighbours that are no duplicates: scores over 0.9995, the row itself included, are cut before the ranking."""
     x = items(spark, sf_dir)
-    near = V.scored(x, asked(x)).where("score <= 0.9995")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return shown(near.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("query_id", "id", "score", "rank"))
+    return shown(V.knn(x.withColumn("domain", F.lit(0).cast("long")), asked(x), 5, most=0.9995).select("query_id", "id", "score", "rank"))
 
 
 HUB = VEC + """, t AS (SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 16), c AS (SELECT vec_id, count(query_id) AS n FROM v LEFT JOIN t ON vec_id = id GROUP BY vec_id),
@@ -242,7 +241,8 @@ def mean_direction_cosine(spark, sf_dir):
 @query("A19", VEC + " SELECT round(ln(avg(exp(-2 * (2 - 2 * score)))), 6) AS uniformity FROM s")
 def uniformity(spark, sf_dir):
     x = items(spark, sf_dir)
-    return V.scored(x, asked(x)).agg(F.round(F.ln(F.avg(F.exp(-2 * (2 - 2 * F.col("score"))))), 6).alias("uniformity"))
+    by = V.folded(x, asked(x), {"e": lambda s, _: np.exp(-2 * (2 - 2 * s)), "n": lambda s, _: np.ones(s.shape)})
+    return by.agg(F.round(F.ln(F.sum("e") / F.sum("n")), 6).alias("uniformity"))
 
 
 LSE = VEC + ", z AS (SELECT query_id, ql = cl AS positive, exp(10 * (score - max(score) OVER (PARTITION BY query_id))) AS w FROM s), l AS (SELECT query_id, -ln(sum(w) FILTER (positive) / sum(w)) AS loss FROM z GROUP BY query_id)"
@@ -252,17 +252,15 @@ LSE = VEC + ", z AS (SELECT query_id, ql = cl AS positive, exp(10 * (score - max
 def softmax_retrieval_loss(spark, sf_dir):
     """-log of the softmax mass on a query's positives; partial sums at a shared scale (no score is over 1)."""
     x = items(spark, sf_dir)
-    w = F.exp(10 * (F.col("score") - 1))
-    by = V.scored(x, asked(x)).groupBy("query_id").agg(F.sum(F.when(F.col("query_domain") == F.col("domain"), w)).alias("p"), F.sum(w).alias("all"))
-    return by.where("p IS NOT NULL").select("query_id", F.round(-F.ln(F.col("p") / F.col("all")), 6).alias("loss"))
+    by = V.folded(x, asked(x), {"p": lambda s, own: own * np.exp(10 * (s - 1)), "all": lambda s, _: np.exp(10 * (s - 1))})
+    return by.where("p > 0").select("query_id", F.round(-F.ln(F.col("p") / F.col("all")), 6).alias("loss"))
 
 
 @query("A37 A40", VEC + ", z AS (SELECT query_id, 10 * score AS a, 5 * score AS b FROM s), y AS (SELECT query_id, a - ln(sum(exp(a)) OVER (PARTITION BY query_id)) AS la, b - ln(sum(exp(b)) OVER (PARTITION BY query_id)) AS lb FROM z) SELECT query_id, round(sum(exp(la) * (la - lb)), 6) AS kl FROM y GROUP BY query_id")
 def teacher_kl(spark, sf_dir):
     """KL of the softmaxes of teacher and student scores over the same field: all sums in one aggregation."""
     x = items(spark, sf_dir)
-    a, b = 10 * F.col("score"), 5 * F.col("score")
-    by = V.scored(x, asked(x)).groupBy("query_id").agg(F.sum(F.exp(a)).alias("za"), F.sum(F.exp(b)).alias("zb"), F.sum(F.exp(a) * (a - b)).alias("g"))
+    by = V.folded(x, asked(x), {"za": lambda s, _: np.exp(10 * s), "zb": lambda s, _: np.exp(5 * s), "g": lambda s, _: np.exp(10 * s) * 5 * s})
     return by.select("query_id", F.round(F.col("g") / F.col("za") - F.ln("za") + F.ln("zb"), 6).alias("kl"))
 
 
@@ -270,9 +268,9 @@ def teacher_kl(spark, sf_dir):
 def union_field_loss(spark, sf_dir):
     """-log(1 - prod(1 - p)) over two spaces of the same field."""
     x = items(spark, sf_dir)
-    a, b, own = F.exp(10 * F.col("score")), F.exp(5 * F.col("score")), F.col("query_domain") == F.col("domain")
-    by = V.scored(x, asked(x)).groupBy("query_id").agg((F.sum(F.when(own, a)) / F.sum(a)).alias("pa"), (F.sum(F.when(own, b)) / F.sum(b)).alias("pb"))
-    return by.where("pa IS NOT NULL").select("query_id", F.round(-F.ln(1 - (1 - F.col("pa")) * (1 - F.col("pb"))), 6).alias("loss"))
+    by = V.folded(x, asked(x), {"a": lambda s, own: own * np.exp(10 * s), "b": lambda s, own: own * np.exp(5 * s), "za": lambda s, _: np.exp(10 * s), "zb": lambda s, _: np.exp(5 * s)})
+    by = by.where("a > 0").select("query_id", (F.col("a") / F.col("za")).alias("pa"), (F.col("b") / F.col("zb")).alias("pb"))
+    return by.select("query_id", F.round(-F.ln(1 - (1 - F.col("pa")) * (1 - F.col("pb"))), 6).alias("loss"))
 
 
 @query("J17 N14", VEC + """, a AS (SELECT query_id, id, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 6),

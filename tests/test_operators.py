@@ -155,6 +155,43 @@ def test_bank_ignores_files_that_no_manifest_names(spark, tmp_path):
     assert ids_of(bank.current()) == ["x"] and bank.verify() == []
 
 
+def test_of_two_writers_the_second_fails_and_readers_always_find_a_manifest(spark, tmp_path):
+    bank = Bank.create(spark, f"file://{tmp_path}/bank", "d", ["A"])
+    before = bank.manifest()
+    bank.append(rows_of(spark, ["x"]))
+    with pytest.raises(RuntimeError, match="another writer"):
+        bank._publish(before | {"cursor": 1, "commits": []})
+    assert ids_of(bank.current()) == ["x"] and bank.manifest()["cursor"] == 1
+    assert not [f for f in os.listdir(tmp_path / "bank") if f.startswith("_manifest")]
+    with pytest.raises(FileExistsError):
+        Bank.create(spark, f"file://{tmp_path}/bank", "d", ["A"])
+
+
+def test_more_anchors_than_a_task_can_hold_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_ANCHORS", 2)
+    x = vectors.prepared(spark.createDataFrame([(k, [float(k), 1.0]) for k in range(3)], "id long, v array<double>"), "id", "v", None, None)
+    for call in (lambda: vectors.knn_distances(x, x, 1), lambda: vectors.nearest(x, x, 1), lambda: vectors.folded(x, x, {})):
+        with pytest.raises(ValueError, match="ask in blocks"):
+            call()
+
+
+def test_search_equals_brute_force_with_ties_and_filters(spark):
+    r = np.random.default_rng(3)
+    x = r.integers(-1, 2, (300, 3)).astype(float)
+    rows = [(k, x[k].tolist(), k % 4, k % 7) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, d long, t long").repartition(3)
+    items = vectors.prepared(df, "id", "v", F.col("d"), F.col("t"))
+    u = vectors.unit(x)
+    for causal, same, most in ((None, False, None), ("strict", False, 0.9), ("inclusive", True, None)):
+        got = {}
+        for row in vectors.knn(items, items.where("id % 30 = 0"), 5, causal=causal, same_domain=same, most=most).collect():
+            got.setdefault(row["query_id"], []).append((row["rank"], row["id"]))
+        for q in range(0, 300, 30):
+            seen = [k for k in range(300) if k != q and (not same or k % 4 == q % 4) and (causal is None or (k % 7 < q % 7 if causal == "strict" else k % 7 <= q % 7)) and (most is None or round(u[q] @ u[k], 9) <= most)]
+            want = sorted(seen, key=lambda k: (-round(u[q] @ u[k], 9), k % 4, k))[:5]
+            assert [k for _, k in sorted(got.get(q, []))] == want
+
+
 # -- events ----------------------------------------------------------------
 LOG = [("s", 0, "e0", 5, "c0"), ("s", 1, "e1", 7, "c1"), ("s", 1, "e1", 7, "c1"), ("s", 1, "e9", 7, "other"), ("s", 2, "e2", 6, "c2"), ("s", 4, "e4", 9, "c4"), ("t", 0, "f0", 1, None)]
 WANT = {("e0", "committed"), ("e1", "committed"), ("e1", "retry"), ("e9", "conflict"), ("e2", "late"), ("e4", "gap"), ("f0", "committed")}
