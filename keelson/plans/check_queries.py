@@ -44,11 +44,10 @@ def checked_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", answers.values_appear(said, rows, F.lit(40)).alias("right"))
 
 
-@query("Y03 Y04 Q08 Q09 Q10", "SELECT l_orderkey, l_linenumber, l_linenumber % 4 IN (0, 1) AS same_calls, l_linenumber % 4 IN (0, 3) AS same_first FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+@query("Y03 Y04 Q08 Q09 Q10", "SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS same_calls, o_orderkey % 4 IN (0, 3) AS same_first FROM orders")
 def checked_calls(spark, sf_dir):
     """Calls as JSON, as Python, with a wrong argument, or with one call left out, against the two that are wanted."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    n, kind = F.col("l_orderkey").cast("string"), F.col("l_linenumber") % 4
+    n, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4
     first, second = F.concat(F.lit('{"name": "ship", "arguments": {"key": '), n, F.lit(', "to": ["a", "b"]}}')), F.lit('{"name": "close", "arguments": {}}')
     said = (
         F.when(kind == 0, F.concat(F.lit('I call [{"arguments": {"to": ["a", "b"], "key": '), n, F.lit('}, "name": "ship"}, {"name": "close", "arguments": "{}"}].')))
@@ -57,7 +56,7 @@ def checked_calls(spark, sf_dir):
         .otherwise(F.concat(F.lit("["), first, F.lit("]")))
     )
     want = F.concat(F.lit("["), first, F.lit(", "), second, F.lit("]"))
-    return li.select("l_orderkey", "l_linenumber", answers.same_calls(said, want).alias("same_calls"), answers.same_first_call(said, first).alias("same_first"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", answers.same_calls(said, want).alias("same_calls"), answers.same_first_call(said, first).alias("same_first"))
 
 
 @query("Y07", "SELECT c_custkey, c_custkey % 3 <> 2 AS \"right\" FROM customer")
@@ -69,18 +68,18 @@ def checked_roles(spark, sf_dir):
 
 
 @query("Y10 Y12 Y13 Y14", """
-SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS number, true AS rounded, l_linenumber % 2 = 0 AS list, true AS "set", l_linenumber % 2 = 0 AS spaceless FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT p_partkey, p_size % 2 = 0 AS number, true AS rounded, p_size % 2 = 0 AS list, true AS "set", p_size % 2 = 0 AS spaceless FROM part
 """)
 def checked_puzzles(spark, sf_dir):
-    """Fractions, rounded numbers, lists, sets and grids; right answers in even lines, in odd ones only where the family is lax."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    key, even = F.col("l_orderkey").cast("string"), F.col("l_linenumber") % 2 == 0
+    """Fractions, rounded numbers, lists, sets and grids; right answers for even sizes, for odd ones only where the family is lax."""
+    n = F.col("p_partkey") + 7
+    key, even = n.cast("string"), F.col("p_size") % 2 == 0
     answer = lambda right, wrong: F.concat(F.lit("Answer: "), F.when(even, right).otherwise(wrong))
     check = lambda said, want, family: answers.same_puzzle(said, want, F.lit(family)).alias(family)
     half = F.concat(F.lit("−"), key, F.lit("/2"))
-    return li.select(
-        "l_orderkey", "l_linenumber",
-        check(answer(F.concat(F.lit("-"), (F.col("l_orderkey") / 2).cast("decimal(18,1)").cast("string")), F.concat(F.lit("-"), key, F.lit(".25"))), half, "number"),
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        check(answer(F.concat(F.lit("-"), (n / 2).cast("decimal(18,1)").cast("string")), F.concat(F.lit("-"), key, F.lit(".25"))), half, "number"),
         check(answer(F.concat(key, F.lit(".50")), F.concat(key, F.lit(".504"))), F.concat(key, F.lit(".50")), "rounded"),
         check(answer(F.concat(F.lit("[1, "), key, F.lit(", x].")), F.concat(F.lit("["), key, F.lit(", 0, x]"))), F.concat(F.lit("1,"), key, F.lit(",X")), "list"),
         check(answer(F.concat(F.lit("b, "), key), F.concat(key, F.lit(", B"))), F.concat(key, F.lit(",b")), "set"),

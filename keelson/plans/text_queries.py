@@ -124,12 +124,11 @@ def benchmark_contamination(spark, sf_dir):
     Runs are met and counted by a hash of 64 bits of their words' hashes, which builds no text; only those whose hash a
     test item has are then written out and compared, so hardly any row leaves its document.
     """
-    hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    of = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, 8)))
+    of = lambda w: T.bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - 7, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, 8))))
     run = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
     words = lambda df, *more: df.select(*more, T.terms(F.col("text")).alias("w")).where(F.size("w") > 0)
-    asked = words(table(spark, sf_dir, "benchmark"), "item_id").select("w", F.posexplode(of(hashes(F.col("w")))).alias("at", "h")).select("h", run(F.col("w"), F.col("at") + 1).alias("g")).distinct()
-    d = words(docs(spark, sf_dir), "doc_id").select("doc_id", of(hashes(F.col("w"))).alias("h"))
+    asked = words(table(spark, sf_dir, "benchmark"), "item_id").select("w", F.posexplode(of(F.col("w"))).alias("at", "h")).select("h", run(F.col("w"), F.col("at") + 1).alias("g")).distinct()
+    d = words(docs(spark, sf_dir), "doc_id").select("doc_id", of(F.col("w")).alias("h"))
     d = d.select("doc_id", F.size(F.array_distinct("h")).cast("long").alias("own"), F.posexplode("h").alias("at", "h"))
     met = d.join(asked.select("h").distinct(), "h", "left_semi").groupBy("doc_id", "own").agg(F.collect_set("at").alias("at"))  # within one document
     hits = words(docs(spark, sf_dir).select("doc_id", "text").join(met, "doc_id"), "doc_id", "own", "at").select("doc_id", "own", F.explode(F.array_distinct(F.transform("at", lambda i: run(F.col("w"), i + 1)))).alias("g"))
