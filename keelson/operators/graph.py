@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Through the folder that the cluster names; a temporary one only where none is set."""
+    """Through the folder that the cluster names; a temporary one only where none is set and all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
     return df.checkpoint()
 
 
@@ -24,7 +27,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFram
         frontier = checkpointed(found.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # each round's part is written once
     raise RuntimeError("no end within the given rounds")
 
 
