@@ -18,11 +18,17 @@ LETTERS_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder stands in if driver and executors are one process; on a cluster that is an
+    error, since each machine would write to a disk of its own.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-shared-"))
         named = sc._jsc.sc().getCheckpointDir().get()
     return str(named).rstrip("/")
@@ -31,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
-    Cuts the lineage: whatever is lost later is read again from the shared folder, not computed again.
+    Cuts the lineage: whatever is lost later is read again from the shared folder, not computed again. All tables of an
+    application lie in one folder under its id, which can be removed when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keelson-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/keelson-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from keelson.llm import simhash
@@ -157,6 +158,18 @@ def test_shared_folder_is_the_named_one_or_the_session_s(spark):
         class conf:
             get = staticmethod(lambda key, default: default)
 
+    class Cluster(Unset):
+        class sparkContext:
+            master = "yarn"
+
+            class _jsc:
+                sc = staticmethod(lambda: Cluster.sparkContext)
+
+            class getCheckpointDir:
+                isEmpty = staticmethod(lambda: True)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert common.shared_dir(spark) == (named or common.shared_dir(spark))
     assert common.shared_dir(Unset).startswith(("/", "file:", "hdfs:"))
