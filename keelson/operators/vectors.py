@@ -33,12 +33,13 @@ def prepared(df: DataFrame, id_col: str, vector_col: str, domain: Column | None,
     ).where("id IS NOT NULL AND vector IS NOT NULL")
 
 
-def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", causal: str | None = None, same_domain: bool = False, exclude_self: bool = True, excluded: dict[int, list[int]] | None = None, most: float | None = None, queries_per_block: int = 2048) -> DataFrame:
+def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine", causal: str | None = None, same_domain: bool = False, exclude_self: bool = True, excluded: dict[int, list[int]] | None = None, most: float | None = None, margin: int = 0, queries_per_block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): the k best visible items of each query by (score desc, domain, id).
 
     ``items`` and ``queries`` come from ``prepared``. Filters hold before the ranking: ``causal`` is "strict"
     (item.time < query.time) or "inclusive" (<=), ``same_domain`` asks for the query's domain, ``excluded`` names items
-    by query, scores over ``most`` do not count. The queries are a stated set: they are read in blocks and broadcast against all items; a task sends at
+    by query, scores over ``most`` do not count. With a ``margin`` scores are worked out in single precision first, and
+    only the k + margin best of a batch exactly. The queries are a stated set: they are read in blocks and broadcast against all items; a task sends at
     most k rows for a query.
     """
     n = queries.count()
@@ -46,7 +47,7 @@ def knn(items: DataFrame, queries: DataFrame, k: int, *, metric: str = "cosine",
     out = None
     for block in range(blocks):
         rows = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)).collect()
-        found = _knn_block(items, rows, k, metric, causal, same_domain, exclude_self, excluded or {}, most)
+        found = _knn_block(items, rows, k, metric, causal, same_domain, exclude_self, excluded or {}, most, margin)
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "domain", "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
@@ -63,7 +64,7 @@ def best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [c[order] for c in rows]
 
 
-def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str | None, same_domain: bool, exclude_self: bool, excluded: dict[int, list[int]], most: float | None) -> DataFrame:
+def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str | None, same_domain: bool, exclude_self: bool, excluded: dict[int, list[int]], most: float | None, margin: int) -> DataFrame:
     rows = sorted(rows, key=lambda r: r["id"])
     keys = np.array([r["vector"] for r in rows], np.float64) if rows else np.zeros((0, 0))
     keys = unit(keys) if metric == "cosine" and len(rows) else keys
@@ -80,7 +81,8 @@ def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str |
             for begin in range(0, len(own) if len(ids) else 0, 4096):
                 i, d, t = (c[begin : begin + 4096] for c in (own, domain, time))
                 part = x[begin : begin + 4096]
-                scores = np.round(keys @ (unit(part) if metric == "cosine" else part).T, DIGITS)
+                part = unit(part) if metric == "cosine" else part
+                scores = (keys.astype(np.float32) @ part.astype(np.float32).T).astype(np.float64) if margin else np.round(keys @ part.T, DIGITS)
                 hidden = np.zeros(scores.shape, bool)
                 if exclude_self:
                     hidden |= i[None] == ids[:, None]
@@ -93,6 +95,15 @@ def _knn_block(items: DataFrame, rows: list, k: int, metric: str, causal: str |
                 for q in np.flatnonzero(np.isin(ids, list(excluded))):
                     hidden[q] |= np.isin(i, excluded[int(ids[q])])
                 scores[hidden] = -np.inf
+                if margin and scores.shape[1] > k + margin:
+                    at = np.argpartition(scores, scores.shape[1] - k - margin, axis=1)[:, -(k + margin) :]
+                    near = np.round(np.einsum("qd,qmd->qm", keys, part[at]), DIGITS)
+                    seen = np.isfinite(np.take_along_axis(scores, at, axis=1))
+                    scores = np.full(scores.shape, -np.inf)
+                    np.put_along_axis(scores, at, np.where(seen, near, -np.inf), axis=1)
+                    hidden = ~np.isfinite(scores)
+                elif margin:
+                    scores = np.where(hidden, -np.inf, np.round(keys @ part.T, DIGITS))
                 if scores.shape[1] > k:  # what may be among the k best, ties included
                     edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
                     hidden |= scores < edge[:, None]

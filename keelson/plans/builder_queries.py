@@ -435,3 +435,98 @@ def fresh_handles(spark, sf_dir):
     new, same = sqltext.fresh_names(names, 5), sqltext.fresh_names(sorted(names), 5)
     rows = [(n, "low" if n.lower() < "brand#3" else "high", new[n.lower()] not in {x.lower() for x in names} and len(set(new.values())) == len(new), new == same) for n in names]
     return spark.createDataFrame(rows, "p_brand string, half string, fresh boolean, again boolean")
+
+
+@query("Q02 Q04 Q05 Y21", """
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 3 THEN 'unknown_role' WHEN 4 THEN 'unknown_block' WHEN 5 THEN 'no_answer' END AS reason, CASE WHEN o_orderkey % 6 < 3 THEN ['user', 'assistant'] ELSE [] END AS roles,
+  CASE o_orderkey % 6 WHEN 0 THEN 'done ' || o_orderpriority WHEN 1 THEN 'done ' || o_orderpriority WHEN 2 THEN '<tool_call>{"arguments": {"a": ' || o_orderkey || ', "b": 1}, "name": "f"}</tool_call>' END AS said,
+  CASE WHEN o_orderkey % 6 = 2 THEN ['call_without_result'] ELSE [] END AS faults FROM orders
+""")
+def read_trajectories(spark, sf_dir):
+    """Trajectories of three layouts as one schema, the reason for what does not fit, and what an audit finds in the rest."""
+    from ..functions import messages
+
+    kind, key, said = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string"), F.concat(F.lit("done "), F.col("o_orderpriority"))
+    raw = (
+        F.when(kind == 0, F.concat(F.lit('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "'), said, F.lit('"}]}')))
+        .when(kind == 1, F.concat(F.lit('{"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": "'), said, F.lit('"}]}')))
+        .when(kind == 2, F.concat(F.lit('{"query": "q", "answers": [{"name": "f", "arguments": {"b": 1, "a": '), key, F.lit("}}]}")))
+        .when(kind == 3, F.lit('{"messages": [{"role": "alien", "content": "x"}]}'))
+        .when(kind == 4, F.lit('{"messages": [{"role": "user", "content": [{"type": "image"}]}]}'))
+        .otherwise(F.lit('{"messages": [{"role": "user", "content": "q"}]}'))
+    )
+    found = messages.normalized(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "o_orderkey", "raw")
+    audit = scalar(T.ArrayType(T.StringType()), lambda roles, texts: messages.faults(list(zip(roles, texts, strict=True)), list(range(len(roles)))))
+    part = lambda name: F.transform("messages", lambda m: m[name])
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), "reason", part("role").alias("roles"), F.get(part("content"), F.lit(1)).alias("said"), audit(part("role"), part("content")).alias("faults"))
+
+
+@query("J34", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS step FROM customer")
+def placed_records(spark, sf_dir):
+    """The first step that names a record, by whole words; null where none does."""
+    from ..functions import messages
+
+    kind, name = F.col("c_custkey") % 3, F.concat(F.lit("key"), F.col("c_custkey").cast("string"))
+    steps = F.array(F.concat(name, F.lit("s are many")), F.when(kind == 0, F.concat(F.lit("look at "), name)).otherwise(F.lit("go on")), F.when(kind == 1, F.concat(F.lit("use "), name, F.lit("."))).otherwise(F.lit("stop")))
+    first = scalar(T.IntegerType(), lambda record, said: messages.earliest(list(record), list(said)))
+    return table(spark, sf_dir, "customer").select("c_custkey", first(F.array(name), steps).alias("step"))
+
+
+@query("W05", """SELECT s_suppkey, [s_suppkey || '-c', s_suppkey || '-a', s_suppkey || '-b'] AS hops FROM supplier""")
+def hops(spark, sf_dir):
+    """Rows in the order in which their titles are grounded in what was seen before."""
+    from ..operators import greedy
+
+    key = F.col("s_suppkey").cast("string")
+    rows = F.array(*[F.struct(F.concat(key, F.lit(f"-{name}")).alias("k"), F.array(*map(F.lit, words)).alias("w")) for name, words in (("a", ["river", "old"]), ("b", ["bridge", "river"]), ("c", ["town", "river"]))])
+
+    def order(row, seen):
+        return greedy.grounded_order([(r["k"], set(r["w"])) for r in row], set(seen))
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scalar(T.ArrayType(T.StringType()), order)(rows, F.array(F.lit("town"))).alias("hops"))
+
+
+@query("A44", """WITH s AS (SELECT vec_id, [exp(CAST(embedding[1] AS DOUBLE)), exp(CAST(embedding[2] AS DOUBLE)), exp(CAST(embedding[3] AS DOUBLE))] AS e FROM embeddings)
+SELECT vec_id, round(e[1] / list_sum(e), 6) AS one, round(e[1] / list_sum(e) * e[2] / (e[2] + e[3]) + e[2] / list_sum(e) * e[1] / (e[1] + e[3]), 6) AS both FROM s""")
+def plan_chances(spark, sf_dir):
+    """The chance that a draw without replacement takes one item first, or two items first in either order."""
+    from ..functions import payloads
+
+    chance = lambda group: scalar(T.DoubleType(), lambda v, _: payloads.plan_probability([float(x) for x in v], [group]))(F.slice("embedding", 1, 3), F.lit(0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(chance([0]), 6).alias("one"), F.round(chance([0, 1]), 6).alias("both"))
+
+
+@query("V16", "SELECT vec_id, round((1.0 * CAST(embedding[1] AS DOUBLE) + 3.0 * CAST(embedding[2] AS DOUBLE)) / 4.0, 6) AS first, 2 AS rows FROM embeddings")
+def mean_payloads(spark, sf_dir):
+    """The weighted mean of two payloads, each of two positions."""
+    from ..functions import payloads
+
+    mean = scalar(T.ArrayType(T.DoubleType()), lambda v, _: payloads.mean_payload([[[float(v[0])], [float(v[2])]], [[float(v[1])], [float(v[3])]]], [1, 3]).ravel().tolist())
+    found = table(spark, sf_dir, "embeddings").select("vec_id", mean(F.slice("embedding", 1, 4), F.lit(0)).alias("m"))
+    return found.select("vec_id", F.round(F.col("m")[0], 6).alias("first"), F.size("m").alias("rows"))
+
+
+@query("C08 C23", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'One two ' || p_brand || '. Four ' || p_size || '.' ELSE p_name || ' b c' END AS target, 'Café ' || p_name AS title FROM part""")
+def prefix_targets(spark, sf_dir):
+    """Whole sentences within a range of words, else whole words; and a title in its composed form."""
+    import unicodedata
+
+    from ..functions import chunks, payloads
+
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("One two "), F.col("p_brand"), F.lit(". Four "), F.col("p_size").cast("string"), F.lit(". Six seven."))).otherwise(F.concat(F.col("p_name"), F.lit(" b c d e f")))
+    words = F.size(F.split("p_name", " "))
+    cut = scalar(T.StringType(), lambda t, n: payloads.prefix_target(t, 4 if n == 5 else 2, int(n), chunks.count_words))
+    limit = F.when(F.col("p_partkey") % 2 == 0, 5).otherwise(words + 2)
+    raw = F.concat(F.lit(unicodedata.normalize("NFD", " Café  ")), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", cut(text, limit).alias("target"), scalar(T.StringType(), lambda t, _: payloads.title(t))(raw, F.lit("")).alias("title"))
+
+
+@query("A46", """WITH e AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * 8) AS a, list_transform(embedding[2:4], lambda x: CAST(x AS DOUBLE) * 8) AS b FROM embeddings),
+l AS (SELECT vec_id, a, b, ln(list_sum(list_transform(a, lambda x: exp(x)))) AS la, ln(list_sum(list_transform(b, lambda x: exp(x)))) AS lb FROM e)
+SELECT vec_id, round(exp(a[1] - la) * (a[1] - la - b[1] + lb) + exp(a[2] - la) * (a[2] - la - b[2] + lb) + exp(a[3] - la) * (a[3] - la - b[3] + lb), 5) AS kl, CAST(0.6 AS DOUBLE) AS saved FROM l""")
+def compaction_checks(spark, sf_dir):
+    """KL of choices before and after a compaction, and the bytes that it saves."""
+    from ..functions import payloads
+
+    quality = lambda name: scalar(T.DoubleType(), lambda v, _: float(payloads.compaction_quality([[8 * float(x) for x in v[:3]]], [[8 * float(x) for x in v[1:4]]], 100, 40)[name]))(F.slice("embedding", 1, 4), F.lit(0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(quality("kl"), 5).alias("kl"), quality("saved").alias("saved"))

@@ -37,6 +37,13 @@ def knn_topk(spark, sf_dir):
     return shown(V.knn(x, asked(x), 10))
 
 
+@query("T07", VEC + TOP.format(of="s", where="", k=10))
+def knn_margin(spark, sf_dir):
+    """The same by single precision first: 64 more than asked for are then scored exactly and ordered."""
+    x = items(spark, sf_dir)
+    return shown(V.knn(x, asked(x), 10, margin=64))
+
+
 @query("T01 T02", VEC.replace("/ (q.nrm * c.nrm)", "") + TOP.format(of="s", where="", k=10))
 def knn_dot(spark, sf_dir):
     x = items(spark, sf_dir)
