@@ -24,6 +24,20 @@ def running(df: DataFrame, key: list[str], order: str, value: Column, how: str,
     return own.withColumn(name, F.when(~empty, both(F.col("__o"), F.col("__c")))).drop("__v", "__b", "__o", "__c")
 
 
+def neighbours(df: DataFrame, key: str, order: str, value: Column, width: int, before: str, after: str) -> DataFrame:
+    """``df`` with ``value`` of the row before and of the row after within the key, by a whole number (null at the ends).
+
+    As in ``running``, rows are ordered in blocks of ``width``; a table with one row per block gives what the nearest
+    blocks beside it end and begin with. A null key is a key.
+    """
+    rows = df.withColumn("__v", F.struct(value.alias("v"))).withColumn("__b", F.floor(F.col(order) / width)).withColumn("__k", F.to_json(F.struct(key)))
+    blocks = rows.groupBy("__k", "__b").agg(F.min_by("__v", order).alias("__first"), F.max_by("__v", order).alias("__last"))
+    along, inside = Window.partitionBy("__k").orderBy("__b"), Window.partitionBy("__k", "__b").orderBy(order)
+    edges = blocks.select("__k", "__b", F.lag("__last").over(along).alias("__p"), F.lead("__first").over(along).alias("__n"))
+    own = rows.withColumn("__x", F.lag("__v").over(inside)).withColumn("__y", F.lead("__v").over(inside)).join(edges, ["__k", "__b"])
+    return own.withColumn(before, F.coalesce("__x", "__p")["v"]).withColumn(after, F.coalesce("__y", "__n")["v"]).drop("__v", "__b", "__k", "__x", "__y", "__p", "__n")
+
+
 def order_statistics(df: DataFrame, key: str, value: str, at: dict[str, Column]) -> DataFrame:
     """The values at given places (from 0) of each key's sorted values; places are expressions of ``n``.
 

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -50,10 +49,10 @@ def url_fields(spark, sf_dir):
 @query("C38 C39 H08", f"SELECT doc_id, sha256(coalesce(lag(substr(text, 1, 40)) OVER w, '') || '|' || substr(text, 1, 40) || '|' || coalesce(lead(substr(text, 1, 40)) OVER w, '')) AS neighbour, sha256(array_to_string({WORDS.format('text')}[1:8], ' ')) AS lead, coalesce(CASE WHEN n_chars > 1000 THEN n_chars END, 2) AS at FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def source_views(spark, sf_dir):
     """Neighbour and lead views of a source's rows in order."""
-    own = Window.partitionBy("source").orderBy("doc_id")
     head = F.substr("text", F.lit(1), F.lit(40))
     d = docs(spark, sf_dir).select("doc_id", "source", "n_chars", head.alias("head"), T.cap_words(F.col("text"), 8).alias("lead"))
-    near = F.concat_ws("|", F.coalesce(F.lag("head").over(own), F.lit("")), "head", F.coalesce(F.lead("head").over(own), F.lit("")))
+    d = O.neighbours(d, "source", "doc_id", F.col("head"), 4096, "before", "after")
+    near = F.concat_ws("|", F.coalesce("before", F.lit("")), "head", F.coalesce("after", F.lit("")))
     return d.select("doc_id", F.sha2(near, 256).alias("neighbour"), F.sha2("lead", 256).alias("lead"), F.coalesce(F.when(F.col("n_chars") > 1000, F.col("n_chars")), F.lit(2)).alias("at"))
 
 
@@ -95,9 +94,9 @@ def band_alignment(spark, sf_dir):
 @query("F23 F24 J32", "SELECT doc_id, lang <> 'fr' AS normal, lang NOT IN ('fr', 'de') AS removed, CASE WHEN lang = 'de' THEN coalesce(lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id), doc_id) ELSE doc_id END AS swapped FROM documents")
 def visibility_modes(spark, sf_dir):
     """Rows of a held-out language are hidden; a removed one too; a swapped one shows its neighbour's value under its own key."""
-    nxt = F.coalesce(F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id")), F.col("doc_id"))
-    lang = F.col("lang")
-    return docs(spark, sf_dir).select("doc_id", (lang != "fr").alias("normal"), (~lang.isin("fr", "de")).alias("removed"), F.when(lang == "de", nxt).otherwise(F.col("doc_id")).alias("swapped"))
+    d = O.neighbours(docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id", F.col("doc_id"), 4096, "before", "after")
+    nxt, lang = F.coalesce("after", "doc_id"), F.col("lang")
+    return d.select("doc_id", (lang != "fr").alias("normal"), (~lang.isin("fr", "de")).alias("removed"), F.when(lang == "de", nxt).otherwise(F.col("doc_id")).alias("swapped"))
 
 
 @query("L06 N01 N16 N17", f"SELECT source, lang, doc_id FROM (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY {SHA.format(seed=4, key='doc_id')}) AS r FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) WHERE r = 1")
@@ -214,17 +213,32 @@ def effective_rank(spark, sf_dir):
 def farthest_points(spark, sf_dir):
     """Eight farthest points, one pass each: the next is the row that is least like all chosen ones, ties to the lower id.
 
-    Each pass is a distributed maximum; only the chosen vectors are broadcast.
+    A pass is one scan: each task sends its own farthest row, and only the chosen vectors are broadcast.
     """
-    x = V.prepared(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None, None)
-    chosen = x.orderBy("id").limit(1).collect()
-    for _ in range(7):
-        anchors = spark.createDataFrame([(r["id"], [float(v) for v in r["vector"]], 0, 0) for r in chosen], "id long, vector array<double>, domain long, time long")
-        far = V.nearest(x, anchors, 1).orderBy("score", "id").limit(1).collect()
-        if not far or far[0]["id"] in {r["id"] for r in chosen}:
+    x = V.prepared(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None, None).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    chosen = [(r["id"], list(r["vector"])) for r in x.orderBy("id").limit(1).collect()]
+    for _ in range(7 if chosen else 0):
+        keys = spark.sparkContext.broadcast(np.array([v for _, v in chosen]))
+
+        def far(batches: Iterator, keys=keys) -> Iterator:
+            import pyarrow as pa
+
+            best = None
+            for batch in batches:
+                ids, rows = batch.column("id").to_numpy(), V.matrix(batch.column("vector"))
+                if len(ids):
+                    score = np.round(V.unit(rows) @ V.unit(keys.value).T, V.DIGITS).max(axis=1)
+                    k = np.lexsort((ids, score))[0]
+                    own = (float(score[k]), int(ids[k]), rows[k].tolist())
+                    best = own if best is None else min(best, own)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(best, (pa.float64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["score", "id", "vector"])
+
+        found = x.mapInArrow(far, "score double, id long, vector array<double>").orderBy("score", "id").limit(1).collect()
+        if found[0]["id"] in {i for i, _ in chosen}:
             break
-        chosen += x.where(F.col("id") == far[0]["id"]).limit(1).collect()
-    return spark.createDataFrame([(k, int(r["id"])) for k, r in enumerate(chosen)], "turn int, vec_id long")
+        chosen.append((found[0]["id"], list(found[0]["vector"])))
+    return spark.createDataFrame([(k, int(i)) for k, (i, _) in enumerate(chosen)], "turn int, vec_id long")
 
 
 def signs(term: str, width: int, seed: int) -> np.ndarray:
