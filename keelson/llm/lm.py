@@ -211,9 +211,9 @@ def counted(hashes: np.ndarray, leaves: np.ndarray, shape: Shape, counts: tuple[
     buckets = len(counts[0]) // FEATURES // shape.outer
     for level, (rows, own) in enumerate(zip(rows_of(hashes, outer, buckets, shape.outer), (outer, inner), strict=True)):
         width = shape.outer if level == 0 else shape.inner
-        for r in rows:
-            held = counts[level]
-            held += np.bincount(r * width + own, minlength=len(held)).astype(held.dtype)
+        for f, r in enumerate(rows):  # the rows of a feature lie together
+            held = counts[level][f * buckets * width : (f + 1) * buckets * width]
+            np.add(held, np.bincount((r - f * buckets) * width + own, minlength=len(held)), out=held, casting="unsafe")
 
 
 def moved(steps: np.ndarray, gathered: np.ndarray) -> np.ndarray:
@@ -337,7 +337,7 @@ def encoded(source: DataFrame, shipped, sizes: np.ndarray, shape: Shape) -> Data
     return durable(source.mapInArrow(work, f"row long, id {kind}, learn boolean, n_tokens long, known long, logs double, within double, codes array<int>, rest array<struct<token:binary,n:bigint>>"))
 
 
-def stretches(column, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def stretches(column, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(codes, tokens of each document) of an Arrow list column, whole documents at a time."""
     offsets = column.offsets.to_numpy()
     begin = 0
@@ -362,7 +362,7 @@ def observed(texts: DataFrame, shipped, shape: Shape, buckets: int) -> tuple[np.
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        of, counts = shared_head(shipped, shape), tuple(np.zeros(FEATURES * buckets * w, np.int64) for w in widths)
+        of, counts = shared_head(shipped, shape), tuple(np.zeros(FEATURES * buckets * w, np.int32) for w in widths)  # of one task
         for batch in batches:
             for codes, sizes in stretches(batch.column("codes")):
                 counted(*looked_up(of, codes, sizes), shape, counts)
@@ -456,7 +456,9 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     seen = observed(rows.where("learn"), shipped, shape, shape.buckets(n_train))
     steps = np.full((2, FEATURES, BINS), 0.55)
     for _ in range(rounds):
-        steps = moved(steps, gradients(rows.where("learn"), shipped, spark.sparkContext.broadcast(Model.of(seen, n, shape, steps).parts()), shape))
+        model = spark.sparkContext.broadcast(Model.of(seen, n, shape, steps).parts())
+        steps = moved(steps, gradients(rows.where("learn"), shipped, model, shape))
+        model.unpersist()
     model = spark.sparkContext.broadcast(Model.of(seen, n, shape, steps).parts())
 
     def work(batches: Iterator) -> Iterator:
