@@ -136,6 +136,9 @@ class Model:
     sizes: tuple[np.ndarray, np.ndarray]  # the step size of each row
     smooth: float
 
+    def __post_init__(self):
+        self.bins = tuple(bin_of(np.maximum(n.astype(np.float64) - 1, 0)) for n in self.totals)  # without the token itself
+
     @staticmethod
     def of(counts: tuple[np.ndarray, np.ndarray], leaf_tokens: np.ndarray, shape: Shape, steps: np.ndarray) -> Model:
         """``counts``: (rows, classes) for the outer and the inner table."""
@@ -151,7 +154,7 @@ class Model:
             sizes.append(steps[level][feature, bin_of(n)].astype(np.float32))
             ratio *= sizes[-1][:, None]
             tables.append(ratio)
-            totals.append(n)
+            totals.append(n.astype(np.float32))
         return Model(tuple(tables), tuple(totals), (np.log(outer).astype(np.float32), np.log(inner).astype(np.float32)), tuple(sizes), shape.smooth)
 
     def parts(self) -> tuple:
@@ -168,21 +171,23 @@ class Model:
         z = base + held[0]
         for h in held[1:]:
             z += h
-        at = np.arange(len(own))
-        mine, less = z[at, own].astype(np.float64), []
+        at = np.arange(len(own)) * z.shape[1] + own
+        mine = z.ravel().take(at)
+        less, owns = [], []
         if without_own:
-            prior = np.exp(np.broadcast_to(base, z.shape)[at, own].astype(np.float64))
+            prior = np.exp(np.broadcast_to(base, z.shape)[np.arange(len(own)), own])
             for h, r in zip(held, rows, strict=True):
-                size = self.sizes[level].take(r).astype(np.float64)
-                observed = prior * (self.totals[level].take(r) + self.smooth) * np.exp(h[at, own] / size)  # and smoothed
-                less.append(size * np.log1p(-1 / np.maximum(observed, 1 + 1e-3)))
-            mine += sum(less)
-            z[at, own] = mine
+                size, h_own = self.sizes[level].take(r), h.ravel().take(at)
+                observed = prior * (self.totals[level].take(r) + np.float32(self.smooth)) * np.exp(h_own / size)  # and smoothed
+                less.append(size * np.log1p(-1 / np.maximum(observed, np.float32(1.001))))
+                owns.append(h_own)
+            mine = mine + less[0] + less[1] + less[2]
+            z.ravel()[at] = mine
         np.exp(z, out=z)
         total = z.sum(axis=1)
-        share = np.exp(mine) / total
-        slopes = [(h[at, own] + d) - (np.einsum("ij,ij->i", z, h) / total + share * d) for h, d in zip(held, less, strict=False)]
-        return mine - np.log(total), slopes
+        share = np.exp(mine) / total if without_own else None
+        slopes = [(h_own + d) - (np.einsum("ij,ij->i", z, h) / total + share * d) for h, h_own, d in zip(held, owns, less, strict=False)]
+        return mine.astype(np.float64) - np.log(total.astype(np.float64)), slopes
 
     def log_probability(self, hashes: np.ndarray, leaves: np.ndarray, shape: Shape, gathered: np.ndarray | None = None) -> np.ndarray:
         """Log probability of each token's leaf. ``gathered`` (level, slope or its square, feature, bin) adds up changes."""
@@ -194,8 +199,7 @@ class Model:
             found, slopes = self.level(level, rows, base, own, gathered is not None)
             out += found
             for f, slope in enumerate(slopes):
-                bins = bin_of(self.totals[level].take(rows[f]) - 1)
-                slope = slope.astype(np.float64)
+                bins = self.bins[level].take(rows[f])
                 gathered[level, 0, f] += np.bincount(bins, np.rint(slope / UNIT), BINS)
                 gathered[level, 1, f] += np.bincount(bins, np.rint(slope * slope / UNIT), BINS)
         return out
