@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, joined_by
 
 
 def any_case(word: str) -> str:
@@ -133,15 +133,17 @@ def ownership(evidence: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def live_hashes(found: DataFrame, max_owners: int, max_repositories: int, salts: int, asked: Column | None = None) -> DataFrame:
+def live_hashes(found: DataFrame, max_owners: int, max_repositories: int, asked: Column | None = None) -> DataFrame:
     """(id, text_hash, live): the hashes of each text that few owners and repositories hold.
 
-    Owners and repositories are counted over all rows; the result has only the rows that are ``asked`` for.
+    Owners and repositories are counted over all rows; the result has only the rows that are ``asked`` for. A hash that
+    a single owner's many rows hold is broadcast to them, all others are joined by shuffle.
     """
     held = lambda rows: rows.select("id", "text_hash", "owner", "repository", F.explode(F.transform(F.concat("base", "more"), lambda x: x["hash"])).alias("hash"))
-    rare = ownership(held(found)).where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = held(found if asked is None else found.where(asked)).select("id", "text_hash", "hash", F.pmod(F.xxhash64("id", "text_hash"), F.lit(salts)).cast("int").alias("salt")).distinct()
-    return salted.join(rare, ["hash", "salt"]).groupBy("id", "text_hash").agg(F.collect_set("hash").alias("live"))  # within one text
+    rare = durable(ownership(held(found)).where((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).select("hash", "n_rows"))
+    total = rare.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    rows = held(found if asked is None else found.where(asked)).select("id", "text_hash", "hash").distinct()
+    return joined_by(rows, rare, "hash", "n_rows", total).groupBy("id", "text_hash").agg(F.collect_set("hash").alias("live"))  # within one text
 
 
 def findings(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
@@ -159,7 +161,7 @@ def owner_columns(owner_col: str, repository_cols: list[str]) -> tuple[Column, C
     return F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")), F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in repository_cols])
 
 
-def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2, salts: int = 8) -> DataFrame:
+def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2) -> DataFrame:
     """Spans of secrets in every whole text, and which of them look live.
 
     Returns (id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied). What a span holds is hashed, and each
@@ -172,7 +174,7 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     results and count as one owner. A null id is kept. An empty table gives an empty result.
     """
     found = findings(docs, id_col, text_col, *owner_columns(owner_col, list(repository_cols)))
-    live = live_hashes(found, max_owners, max_repositories, salts).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
+    live = live_hashes(found, max_owners, max_repositories).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
     joined = found.join(live, found["id"].eqNullSafe(F.col("__id")) & (found["text_hash"] == F.col("__hash")), "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
     has = lambda x: F.array_contains(F.col("live"), x["hash"])
     spans = F.array_sort(F.concat("base", F.filter("more", has)))
@@ -185,7 +187,7 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2, salts: int = 8) -> DataFrame:
+def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repositories: int = 2) -> DataFrame:
     """``docs`` with every span that ``secrets`` reports replaced by ``[SECRET]``; all rows and columns stay.
 
     Texts are scanned once; the rows with their spans are kept in the shared folder. Hashes are counted over all of
@@ -197,7 +199,7 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     source = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), owner.alias("owner"), repository.alias("repository"))
     held = durable(scanned(source, "text").select("row", "id", F.xxhash64("text").alias("text_hash"), "owner", "repository", F.col("__base").alias("base"), F.col("__more").alias("more")))
-    live = live_hashes(held, max_owners, max_repositories, salts, F.size("more") > 0).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
+    live = live_hashes(held, max_owners, max_repositories, F.size("more") > 0).withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
     plain = held.where(F.size("more") == 0).select("row", F.col("base").alias("spans"))
     rest = held.where(F.size("more") > 0).join(live, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     rest = rest.select("row", F.array_sort(F.concat("base", F.filter("more", lambda x: F.coalesce(F.array_contains(F.col("live"), x["hash"]), F.lit(False))))).alias("spans"))
