@@ -54,16 +54,19 @@ def composition(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the least node connected with each node of (a, b): least neighbour labels with pointer jumping."""
+    """(node, root): the least node connected with each node of (a, b): least neighbour labels with pointer jumping.
+
+    Labels grow with the nodes, so their joins are merged: none is collected by the driver to be broadcast.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", F.least("root", "near").alias("mid"))
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        low = labels.join(near.hint("merge"), "node").select("node", F.least("root", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = checkpointed(low.join(jump, "mid").select("node", F.least("mid", "far").alias("root")))
-        if new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
+        new = checkpointed(low.join(jump.hint("merge"), "mid").select("node", F.least("mid", "far").alias("root")))
+        if new.join(labels.withColumnRenamed("root", "old").hint("merge"), "node").where("root <> old").isEmpty():
             return new
         labels = new
     raise RuntimeError("no end within the given rounds")

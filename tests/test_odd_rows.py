@@ -47,3 +47,17 @@ def test_odd_rows_as_in_sql(spark, odd, name, zone):
         assert Counter(plain(map(tuple, got.collect()))) == Counter(plain(want))
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_group_disjoint_split_of_nulls_without_broadcasts(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS doc_id, CASE WHEN i % 7 > 0 THEN 'text ' || (i * 5 % 37) END AS text, 'en' AS lang, CASE WHEN i % 11 > 0 THEN 's' || i % 3 END AS source, CASE WHEN i % 13 > 0 THEN i::BIGINT % 60 END AS n_chars
+    FROM range(90) t(i)) TO '{tmp_path}/documents.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    try:
+        got = catalog.QUERIES["group_disjoint_split"](spark, str(tmp_path))
+        rows = plain(map(tuple, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert rows == plain(con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL['group_disjoint_split']}) AS q").fetchall())
