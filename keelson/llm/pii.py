@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, only
+from .common import durable, forget, only
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns (fixed values). A digit before a run of digits cannot start another match, so it is ruled out at once.
@@ -101,6 +103,14 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
+#: How many features there are. All are whole numbers of a bounded span or of flags, so each fits a byte.
+WIDTH = len(features("", 0, 0, 0))
+
+
+def packed(rows: list[list[float]]) -> np.ndarray:
+    return np.minimum(np.array(rows).reshape(-1, WIDTH), 255).astype(np.uint8)
+
+
 @dataclass
 class Trees:
     """Gradient-boosted trees for the logistic loss; a tree is arrays of (feature, threshold, left, right, value)."""
@@ -123,25 +133,25 @@ class Trees:
         return out
 
 
-def grow(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, depth: int, least: int = 10, ridge: float = 1.0, rate: float = 0.2) -> list[tuple]:
-    """One tree on second-order gains."""
+def grow(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, count: np.ndarray, depth: int, least: int = 10, ridge: float = 1.0, rate: float = 0.2) -> list[tuple]:
+    """One tree on second-order gains; sums by value of a feature (a byte) give every cut. ``count`` says how many rows each row stands for."""
     tree: list[tuple] = []
 
     def build(rows: np.ndarray, level: int) -> int:
-        at, g, h = len(tree), slope[rows].sum(), weight[rows].sum()
+        at, g, h, n = len(tree), slope[rows].sum(), weight[rows].sum(), count[rows].sum()
         tree.append((-1, 0.0, 0, 0, -rate * g / (h + ridge)))
         best = (1e-6, -1, 0.0)
-        if level and len(rows) >= 2 * least:
+        if level and n >= 2 * least:
             for f in range(x.shape[1]):
-                order = rows[np.argsort(x[rows, f], kind="stable")]
-                v, gs, hs = x[order, f], np.cumsum(slope[order]), np.cumsum(weight[order])
-                cuts = np.flatnonzero(v[1:] > v[:-1])
-                cuts = cuts[(cuts + 1 >= least) & (len(rows) - cuts - 1 >= least)]
+                v = x[rows, f]
+                held = np.flatnonzero(np.bincount(v))
+                ns, gs, hs = (np.cumsum(np.bincount(v, c[rows]))[held[:-1]] for c in (count, slope, weight))
+                cuts = np.flatnonzero((ns >= least) & (n - ns >= least))
                 if len(cuts):
                     gain = gs[cuts] ** 2 / (hs[cuts] + ridge) + (g - gs[cuts]) ** 2 / (h - hs[cuts] + ridge) - g**2 / (h + ridge)
                     k = int(np.argmax(gain))
                     if gain[k] > best[0]:
-                        best = (float(gain[k]), f, float((v[cuts[k]] + v[cuts[k] + 1]) / 2))
+                        best = (float(gain[k]), f, float((held[cuts[k]] + held[cuts[k] + 1]) / 2))
         if best[1] >= 0:
             low = x[rows, best[1]] <= best[2]
             left, right = build(rows[low], level - 1), build(rows[~low], level - 1)
@@ -152,13 +162,13 @@ def grow(x: np.ndarray, slope: np.ndarray, weight: np.ndarray, depth: int, least
     return tree
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4) -> Trees:
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+def boost(x: np.ndarray, y: np.ndarray, count: np.ndarray, rounds: int = 40, depth: int = 4) -> Trees:
+    share = min(max(np.average(y, weights=count), 1e-3), 1 - 1e-3)
     model = Trees(float(np.log(share / (1 - share))), [])
     logit = np.full(len(y), model.bias)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-logit))
-        model.trees.append(grow(x, p - y, p * (1 - p), depth))
+        model.trees.append(grow(x, count * (p - y), count * p * (1 - p), count, depth))
         logit += Trees(0.0, model.trees[-1:]).logits(x)
     return model
 
@@ -216,7 +226,7 @@ def respelled(kind: int, span: str, turn: int) -> str:
         at, dot = ((" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" [at] ", "."))[turn % 4]
         return name + at + host.replace(".", dot)
     if kind == 1:
-        return "2001:db8:" + ":".join(f"{int(x) + 256 * (turn + k):x}" for k, x in enumerate(span.split(".")))
+        return "2001:db8:" + ":".join(f"{int(x.lstrip('0') or 0) + 256 * (turn % 250 + k):x}" for k, x in enumerate(span.split(".")))
     if kind == 2:
         return (".", "/", "_")[turn % 3].join(d[k : k + 4] for k in range(0, 16, 4))
     d = d[-10:].rjust(10, "5")
@@ -236,98 +246,135 @@ def spoiled(kind: int, span: str, turn: int) -> str:
     return (f"20{d[:2]}-{int(d[2:4]) % 12 + 1:02}-{int(d[4:6]) % 28 + 1:02}", f"{d[:3]} {d[3:6]}", f"{int(d[:2]) % 28 + 1:02}.{int(d[2:4]) % 12 + 1:02}.20{d[4:6]}")[turn % 3]
 
 
+def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and what the wide generators propose that overlaps none of them."""
+    if not ANY.search(text):
+        return [], []
+    sure = base(text)
+    taken = occupied(sure)
+    return sure, sorted({p for p in proposals(text) if taken.free(p[1], p[2])})
+
+
+def lessons(text: str, turn: int, sure: list[tuple[int, int, int]]) -> Iterator[tuple[list[float], int]]:
+    """(features, label) of what is proposed where base spans are respelled (1) or spoiled (0) in their places."""
+    for kind, a, b in sure:
+        for label, made in ((1, respelled(kind, text[a:b], turn + a)), (0, spoiled(kind, text[a:b], turn + a))):
+            left = text[max(0, a - 2 * AROUND) : a]
+            other = left + made + text[b : b + 2 * AROUND]
+            whole = (kind, len(left), len(left) + len(made))
+            for p in proposals(other):
+                if p[1] < whole[2] and whole[1] < p[2] and (label == 0 or p == whole):
+                    yield features(other, *p), label
+
+
 def trials(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels from real texts: base spans respelled and spoiled where they stand, and what is proposed elsewhere."""
+    """Features and labels from real texts: ``lessons``, and what is proposed beside the base spans (0)."""
     rows: list[list[float]] = []
     labels: list[float] = []
-    for turn, text in enumerate(texts):
-        found = base(text or "")
-        for kind, a, b in found:
-            for label, made in ((1.0, respelled(kind, text[a:b], turn + a)), (0.0, spoiled(kind, text[a:b], turn + a))):
-                left = text[max(0, a - 2 * AROUND) : a]
-                other = left + made + text[b : b + 2 * AROUND]
-                whole = (kind, len(left), len(left) + len(made))
-                for p in proposals(other):
-                    if p[1] < whole[2] and whole[1] < p[2] and (label == 0.0 or p == whole):
-                        rows.append(features(other, *p))
-                        labels.append(label)
-        for p in proposals(text or ""):
-            if not any(p[1] < b and a < p[2] for _, a, b in found):
-                rows.append(features(text, *p))
-                labels.append(0.0)
-    return np.array(rows), np.array(labels)
-
-
-def platt(logit: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    for text in texts:
+        sure, more = candidates(text or "")
+        for x, label in [*lessons(text, split(text)[1], sure), *((features(text, *p), 0) for p in more)] if sure or more else ():
+            rows.append(x)
+            labels.append(float(label))
+    return packed(rows), np.array(labels)
+
+
+def split(text: str) -> tuple[int, int]:
+    """(half, turn) of a text, by its hash: copies fall in the same half."""
+    h = zlib.crc32(text.encode())
+    return h & 1, h >> 1
+
+
+def platt(logit: np.ndarray, label: np.ndarray, count: np.ndarray | None = None, steps: int = 50) -> tuple[float, float]:
     """(slope, shift) of the logistic curve from scores to probabilities, with smoothed targets, by Newton's method."""
-    up, down = label.sum(), (1 - label).sum()
+    count = np.ones(len(logit)) if count is None else count
+    up, down = (count * label).sum(), (count * (1 - label)).sum()
     target = np.where(label > 0, (up + 1) / (up + 2), 1 / (down + 2))
     x, w = np.stack([logit, np.ones(len(logit))], axis=1), np.array([0.5, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - target) + 1e-3 * w)
+        w = w - np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (count * (p - target)) + 1e-3 * w)
     return float(w[0]), float(w[1])
 
 
-def calibrated(model: Trees, x: np.ndarray, y: np.ndarray, precision: float) -> list[float]:
+def calibrated(model: Trees, x: np.ndarray, y: np.ndarray, precision: float, count: np.ndarray | None = None) -> list[float]:
     """For each kind, the least score whose probability is ``precision`` on rows that the trees have not seen.
 
     A kind without rows of both labels, or whose scores do not rise with the label, adds no span.
     """
+    count = np.ones(len(y)) if count is None else count
     logit, cuts = (model.logits(x) if len(x) else np.zeros(0)), []
     for kind in range(len(KINDS)):
         own = x[:, kind] == 1 if len(x) else np.zeros(0, bool)
-        slope, shift = platt(logit[own], y[own]) if len(set(y[own])) == 2 else (0.0, 0.0)
+        slope, shift = platt(logit[own], y[own], count[own]) if len(set(y[own])) == 2 else (0.0, 0.0)
         cuts.append((float(np.log(precision / (1 - precision))) - shift) / slope if slope > 1e-6 else float("inf"))
     return cuts
 
 
 def train(texts: list[str | None] | None = None, n: int = 2400, seed: int = 11, precision: float = 0.95) -> tuple[Trees, list[float]]:
-    """Trees learned from one half of the written examples and of ``texts``; thresholds calibrated on the other halves."""
+    """The model of ``learned`` from a list of texts."""
+    halves = [[t for t in texts or [] if t and split(t)[0] == k] for k in range(2)]
+    return learned([(x, y, np.ones(len(y))) for x, y in map(trials, halves)], n, seed, precision)
+
+
+def learned(halves: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int = 2400, seed: int = 11, precision: float = 0.95) -> tuple[Trees, list[float]]:
+    """Trees learned from one half of the written examples and of the real rows; thresholds calibrated on the other halves.
+
+    A half of the real rows is (features, labels, counts). Where they are more than the written ones, these count as many
+    times as make both weigh the same, so formats that no respelling has are not lost.
+    """
     rows = examples(n, seed)
-    written = np.array([features(t, k, a, b) for t, k, a, b, _ in rows]), np.array([float(r[4]) for r in rows])
-    halves = []
-    for k in range(2):
-        x, y = trials((texts or [])[k::2])
-        own = written[0][k::2], written[1][k::2]
-        halves.append((np.concatenate([own[0], x]), np.concatenate([own[1], y])) if len(x) else own)
-    model = boost(*halves[0])
-    return model, calibrated(model, *halves[1], precision)
+    written = packed([features(t, k, a, b) for t, k, a, b, _ in rows]), np.array([float(r[4]) for r in rows])
+    both = []
+    for k, (x, y, count) in enumerate(halves):
+        own = len(written[1][k::2])
+        each = np.full(own, max(1.0, count.sum() / own))
+        both.append((np.concatenate([written[0][k::2], x]), np.concatenate([written[1][k::2], y]), np.concatenate([each, count])))
+    model = boost(*both[0])
+    x, y, count = both[1]
+    return model, calibrated(model, x, y, precision, count)
 
 
-def sampled(docs: DataFrame, max_rows: int, max_bytes: int) -> list[str | None]:
-    """At most ``max_rows`` distinct texts with a digit or an at sign and of at most ``max_bytes`` each, by hash order.
+def folded(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The real rows of both halves, equal ones counted, in an order that does not depend on how the texts are split.
 
-    Distinct texts are counted first, so that only about as many as are asked for are read out, however large the table
-    is and however many copies a text has.
+    Only distinct rows reach the driver, 27 bytes each and a count.
     """
-    fits = docs.where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= max_bytes)).select(F.xxhash64("text").alias("h"), "text")
-    n = fits.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
-    edge = int((1.2 * max_rows + 50) / max(n, 1) * 2**64) - 2**63
-    few = fits if edge >= 2**63 else fits.where(F.col("h") < edge)
-    found = few.groupBy("h").agg(F.min("text").alias("text")).collect()  # about 1.2 * max_rows + 50 rows
-    return [r["text"] for r in sorted(found, key=lambda r: r["h"])[:max_rows]]
 
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def spans(text: str, model: Trees, cuts: list[float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and the spans that the trees add beside them: the best scored first, none overlapping."""
-    if not ANY.search(text):
-        return [], []
-    sure = base(text)
-    taken = Taken()
-    for _, a, b in sorted(sure, key=lambda x: x[1:]):
-        taken.add(a, b)
-    more = sorted({p for p in proposals(text) if taken.free(p[1], p[2])})
-    if not more:
-        return sure, []
-    logit = model.logits(np.array([features(text, *p) for p in more]))
-    added = []
+        for batch in batches:
+            rows: Counter = Counter()
+            for half, seen, made in zip(*(batch.column(c).to_pylist() for c in ("half", "seen", "made")), strict=True):
+                for k in range(0, len(seen), WIDTH):
+                    rows[half, seen[k : k + WIDTH] + b"\0"] += 1
+                for k in range(0, len(made), WIDTH + 1):
+                    rows[half, made[k : k + WIDTH + 1]] += 1
+            halves, keys = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(halves, pa.int32()), pa.array(keys, pa.binary()), pa.array(list(rows.values()), pa.int64())], names=["half", "row", "n"])
+
+    counted = found.select("half", "seen", "made").mapInArrow(count, "half int, row binary, n long").groupBy("half", "row").agg(F.sum("n").alias("n")).toArrow().sort_by([("half", "ascending"), ("row", "ascending")])
+    half, n = counted["half"].to_numpy(), counted["n"].to_numpy().astype(float)
+    rows = np.frombuffer(b"".join(counted["row"].to_pylist()), np.uint8).reshape(-1, WIDTH + 1)
+    return [(rows[half == k, :WIDTH], rows[half == k, WIDTH].astype(float), n[half == k]) for k in range(2)]
+
+
+def chosen(sure: list, more: list, logit: np.ndarray, cuts: list[float]) -> list[tuple[int, int, int]]:
+    """Those of ``more`` that reach their kind's threshold: the best scored first, none overlapping."""
+    taken, added = occupied(sure), []
     for k in np.lexsort((np.arange(len(more)), -logit)).tolist():
         kind, a, b = more[k]
         if logit[k] >= cuts[kind] and taken.free(a, b):
             taken.add(a, b)
             added.append(more[k])
-    return sure, sorted(added)
+    return sorted(added)
+
+
+def spans(text: str, model: Trees, cuts: list[float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans, and the spans that the trees add beside them."""
+    sure, more = candidates(text)
+    return sure, chosen(sure, more, model.logits(packed([features(text, *p) for p in more])), cuts) if more else []
 
 
 class Taken:
@@ -352,35 +399,68 @@ class Taken:
         self.starts[first:end], self.ends[first:end] = [a], [b]
 
 
-def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: tuple[Trees, list[float]] | None = None, max_rows: int = 500, max_bytes: int = 20_000) -> DataFrame:
+def occupied(sure: list[tuple[int, int, int]]) -> Taken:
+    taken = Taken()
+    for _, a, b in sorted(sure, key=lambda x: x[1:]):
+        taken.add(a, b)
+    return taken
+
+
+def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: tuple[Trees, list[float]] | None = None) -> DataFrame:
     """Spans of e-mail and IP addresses, card and phone numbers in every whole text.
 
     Returns (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added). Base spans always stay and are what the
     counts and the digest show; the trees add spans in other formats beside them, and none that overlap them.
 
-    One narrow pass with a model of bounded size. Its thresholds are calibrated on written examples and on at most
-    ``max_rows`` of the texts (of at most ``max_bytes`` each, by hash order), in which base spans are respelled. Null and empty texts have no span. Null ids stay null, repeated rows
-    give repeated results, an empty table gives an empty result.
+    One pass over the texts writes their base spans, what is proposed beside them with its features, and what is proposed
+    where base spans are respelled and spoiled. Without a ``model``, trees and thresholds are learned from all of these
+    rows, of every text, and from written examples; a second pass, over the rows alone, scores the proposals. Null and
+    empty texts have no span. Null ids stay null, repeated rows give repeated results, an empty table gives an empty result.
     """
     source = only(docs, id=id_col, text=text_col)
-    trees, cuts = model or train(sampled(source, max_rows, max_bytes))
-    shipped = docs.sparkSession.sparkContext.broadcast((trees.bias, trees.trees, cuts))
+    learn = model is None
 
-    def work(batches: Iterator) -> Iterator:
+    def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         forget()
+        for batch in batches:
+            out = []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                sure, more = candidates(text)
+                half, turn = split(text) if learn and (sure or more) else (0, 0)
+                made = [*lessons(text, turn, sure)] if learn else []
+                labels = np.array([[label] for _, label in made], np.uint8).reshape(-1, 1)
+                out.append((half, *(np.array(x, np.int32).tobytes() for x in (sure, more)), packed([features(text, *p) for p in more]).tobytes() if more else b"", np.hstack([packed([x for x, _ in made]), labels]).tobytes() if made else b""))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = [pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "half", "sure", "more", "seen", "made"])
+
+    parts = [T.StructField("half", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("sure", "more", "seen", "made")]]
+    found = source.mapInArrow(read, T.StructType([source.schema["id"], *parts]))
+    if learn:
+        found = durable(found)
+    trees, cuts = learned(folded(found)) if learn else model
+    shipped = docs.sparkSession.sparkContext.broadcast((trees.bias, trees.trees, cuts))
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         bias, grown, cuts = shipped.value
         model = Trees(bias, grown)
+        triples = lambda held: list(map(tuple, np.frombuffer(held, np.int32).reshape(-1, 3).tolist()))
         written = lambda found: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(found))
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                sure, added = spans(text.as_py() or "", model, cuts)
+            out, at = [], 0
+            logit = model.logits(np.frombuffer(b"".join(batch.column("seen").to_pylist()), np.uint8).reshape(-1, WIDTH))
+            for sure, more in zip(map(triples, batch.column("sure").to_pylist()), map(triples, batch.column("more").to_pylist()), strict=True):
+                added = chosen(sure, more, logit[at : at + len(more)], cuts) if more else []
+                at += len(more)
                 out.append((*(sum(k == kind for k, _, _ in sure) for kind in range(len(KINDS))), hashlib.sha256(written(sure).encode()).hexdigest(), written(sure + added), len(added)))
             columns = list(zip(*out, strict=True)) if out else [[]] * (len(KINDS) + 3)
             kinds = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
     more = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_added", T.LongType())]
-    return source.mapInArrow(work, T.StructType([source.schema["id"], *more])).withColumnRenamed("id", id_col)
+    return found.select("id", "sure", "more", "seen").mapInArrow(score, T.StructType([source.schema["id"], *more])).withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -103,6 +104,30 @@ def test_personal_data_of_odd_rows(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_every_text_teaches_the_trees(spark):
+    """Long texts, and the last of many, count: what they hold beside no base span is none, however it looks."""
+    held = "please call tel (456) 555-2186 now. "
+    long = [(i, held * 3 + f"mail a{i}@b.co {'word ' * 4200}") for i in range(300)]
+    short = [(1000 + i, f"order {i} of the day") for i in range(1000)]
+    df = spark.createDataFrame([*long, *short, (9999, held)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_added"] for r in pii.personal_data(df).collect()}
+    assert len(got) == 1301 and set(got.values()) == {0}
+    assert pii.spans(held, *pii.train([t for _, t in short]))[1] != []
+
+
+def test_rows_of_all_texts_are_counted(spark):
+    texts = [f"mail a{i % 40}@b.co or (456) 555-{2186 + i % 9} ip {'0' * 5000}{i % 7}.1.2.3" for i in range(900)]
+    seen = []
+    learned, pii.learned = pii.learned, lambda halves: seen.extend(halves) or learned(halves)
+    try:
+        pii.personal_data(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)).count()
+    finally:
+        pii.learned = learned
+    for k, (x, y, count) in enumerate(seen):
+        want = Counter((bytes(a), b) for a, b in zip(*pii.trials([t for t in texts if pii.split(t)[0] == k]), strict=True))
+        assert Counter({(bytes(a), b): int(n) for a, b, n in zip(x, y, count, strict=True)}) == want and len(want) > 10
+
+
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
