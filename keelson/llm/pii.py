@@ -349,8 +349,8 @@ def folded(found: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for half, seen, made in zip(*(batch.column(c).to_pylist() for c in ("half", "seen", "made")), strict=True):
                 for k in range(0, len(seen), WIDTH):
                     rows[half, seen[k : k + WIDTH] + b"\0"] += 1
-                for k in range(0, len(made), WIDTH + 1):
-                    rows[half, made[k : k + WIDTH + 1]] += 1
+                for k in range(0, len(made), WIDTH + 5):
+                    rows[half, made[k : k + WIDTH + 1]] += int.from_bytes(made[k + WIDTH + 1 : k + WIDTH + 5], "little")
             halves, keys = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(halves, pa.int32()), pa.array(keys, pa.binary()), pa.array(list(rows.values()), pa.int64())], names=["half", "row", "n"])
 
@@ -430,9 +430,8 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 text = value.as_py() or ""
                 sure, more = candidates(text)
                 half, turn = split(text) if learn and (sure or more) else (0, 0)
-                made = [*lessons(text, turn, sure)] if learn else []
-                labels = np.array([[label] for _, label in made], np.uint8).reshape(-1, 1)
-                out.append((half, *(np.array(x, np.int32).tobytes() for x in (sure, more)), packed([features(text, *p) for p in more]).tobytes() if more else b"", np.hstack([packed([x for x, _ in made]), labels]).tobytes() if made else b""))
+                made = Counter(packed([x]).tobytes() + bytes([label]) for x, label in lessons(text, turn, sure)) if learn else {}
+                out.append((half, *(np.array(x, np.int32).tobytes() for x in (sure, more)), b"".join(packed([features(text, *p)]).tobytes() for p in more), b"".join(row + n.to_bytes(4, "little") for row, n in made.items())))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.int32(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "half", "sure", "more", "seen", "made"])
