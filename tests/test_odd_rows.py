@@ -100,3 +100,14 @@ def test_group_disjoint_split_of_nulls_without_broadcasts(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
     assert rows == plain(con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL['group_disjoint_split']}) AS q").fetchall())
+
+
+def test_group_disjoint_split_of_long_chains(spark, tmp_path):
+    """Each document shares its text with one neighbour, its length with the other; least ids travel a chain the long way."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT CASE WHEN i = 0 THEN 0 ELSE 90 - i END + 90 * c AS doc_id, 'text ' || c || '/' || i // 2 AS text, 'en' AS lang, 's' || c AS source, (i + 1) // 2 AS n_chars
+    FROM range(90) t(i), range(2) u(c) UNION ALL SELECT NULL, 'text 0/3', 'en', 's9', 1) TO '{tmp_path}/documents.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = catalog.QUERIES["group_disjoint_split"](spark, str(tmp_path))
+    rows = plain(map(tuple, got.collect()))
+    assert rows == plain(con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.SQL['group_disjoint_split']}) AS q").fetchall())

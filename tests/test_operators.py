@@ -97,6 +97,15 @@ def test_reachable_and_components(spark):
     assert {r["node"]: r["root"] for r in graph.components(chain).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_long_chain_in_few_rounds(spark):
+    """The least node is at one end and the next at the other, so that labels meet in the middle; sizes of plans stay small."""
+    path = [0, *range(200, 0, -1)]
+    chain = spark.createDataFrame([*zip(path, path[1:]), (300, 300)], "a long, b long")
+    got = graph.components(chain, rounds=10)
+    assert int(got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length() < 64
+    assert {r["node"]: r["root"] for r in got.collect()} == dict.fromkeys(path, 0) | {300: 300}
+
+
 # -- visibility ------------------------------------------------------------
 def test_versions_and_gc(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 5)], "k string, o int, born long")
